@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_quality
+from . import queries_quality, queries_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _of in (queries_quality,):
+for _of in (queries_quality, queries_simhash):
     QUERIES |= _of.QUERIES
     ORACLES |= _of.ORACLES
