@@ -1,10 +1,68 @@
-"""Documents through quality rules, near-dedup, decontamination, mixing and token output, stage by stage."""
+"""Documents through quality rules, near-dedup, decontamination, mixing and token files, stage by stage."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weir.llm.decontaminate import decontaminate
+from weir.llm.quality import quality_rules
+from weir.llm.queries_mixing import mixed
+from weir.llm.queries_tokens import token_files
+from weir.llm.shared import fresh, table, written
+from weir.llm.simhash import one_of_each
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break no rule."""
+    into = fresh(docs, "quality")
+    return quality_rules(docs, into=into).where(F.col(into)["kept"]).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth is in the benchmark, without what is."""
+    into = fresh(docs, "leak")
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), into=into).where(~F.col(into)["contaminated"])
+    clean = {"text": F.col(into)["clean_text"]}
+    if "n_chars" in docs.columns:
+        clean["n_chars"] = F.when(F.size(F.col(into)["spans"]) > 0, F.char_length(F.col(into)["clean_text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.withColumns(clean).select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights draw them."""
+    into = fresh(docs, "mix")
+    drawn = mixed(docs).withColumnRenamed("mix", into) if into != "mix" else mixed(docs)
+    copies = F.col(into)["copies"]
+    return drawn.where(copies > 0).withColumn(into, F.explode(F.sequence(F.lit(1), copies.cast("int")))).select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document's token ids lie in the files, as read back."""
+    return token_files(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing to target weights", mixing),
+    ("token files", tokens),
+]
+
+#: XXH64 fingerprints and the tokenizer are not SQL; the test compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs)
+    return docs
