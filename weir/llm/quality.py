@@ -141,7 +141,8 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
         "n_upper": F.size(F.filter(words, lambda w: (F.upper(w) == w) & (F.lower(w) != w))),
     }
     counted = fresh(docs, "_q_counts")
-    step = step.select(*keep, F.struct(*[v.cast("bigint").alias(k) for k, v in counts.items()]).alias(counted))
+    # one row for one: a filter on the verdict must not be moved below, where it would count all again for each word
+    step = step.select(*keep, F.explode(F.array(F.struct(*[v.cast("bigint").alias(k) for k, v in counts.items()]))).alias(counted))
     m = {k: F.col(f"`{counted}`")[k] for k in counts}
     measures = _measures(m)
     base = (m["n_words"] < 10) | (m["n_repeat_words"] * 100 > m["n_words"] * 20)
