@@ -119,7 +119,7 @@ def _contexts(classes: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
     out = np.empty((len(classes), CONTEXT), np.int64)
     for k in range(CONTEXT):
         before = at - k - 1
-        out[:, k] = np.where(before >= first, classes[before], end)
+        out[:, k] = np.where(before >= first, classes[np.maximum(before, 0)], end)
     return out
 
 
