@@ -4,7 +4,419 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from weir.functions import canon
+from weir.operators import profile, queue, replay, retention, store, tensors
+
+from .fixtures import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """The fixtures of one directory, by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return view(self.spark, self.sf_dir, name)
+
+    @property
+    def commit(self) -> DataFrame:
+        return canon.positions(self.accepted, ["o_orderdate", "task_id"], "position").drop("o_orderdate")
+
+
+COMMIT = "commit AS (SELECT row_number() OVER (ORDER BY o_orderdate, task_id) - 1 AS position, * EXCLUDE (o_orderdate) FROM accepted)"
+
+
+def query(sql: str) -> Callable:
+    """Registers a function of Tables under its own name, with its oracle."""
+
+    def register(f: Callable[[Tables], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        ORACLES[f.__name__] = with_views(sql)
+        return f
+
+    return register
+
+
+# store
+
+
+@query("SELECT doc_id, strlen(text) AS length, sha256(text) AS checksum FROM blob")
+def record_checksum(t: Tables) -> DataFrame:
+    return store.record_checksums(t.blob, "doc_id", "text")
+
+
+@query("SELECT pub, records, bytes AS payload_bytes, tokens FROM record_usage")
+def recordset_usage(t: Tables) -> DataFrame:
+    return store.usage(t.record)
+
+
+@query("SELECT pub, string_agg(record_id, ',' ORDER BY ordinal) AS records FROM record GROUP BY pub")
+def recordset_manifest(t: Tables) -> DataFrame:
+    return store.manifest(t.record).withColumn("records", F.array_join("records", ","))
+
+
+_DIGEST = "SELECT pub, sha256(string_agg(record_id || ':' || bytes || ':' || tokens || ':' || codec, chr(10) ORDER BY ordinal)) AS digest, count(*) AS records FROM record GROUP BY pub"
+
+
+@query(_DIGEST)
+def recordset_digest(t: Tables) -> DataFrame:
+    return store.logical_digest(t.record)
+
+
+def _descriptors(t: Tables) -> DataFrame:
+    """Right descriptors, but for some that were tampered with."""
+    right = store.usage(t.record).join(store.logical_digest(t.record).drop("records"), "pub")
+    return right.select(
+        "pub", (F.col("records") + (F.col("pub") % 97 == 0).cast("int")).alias("records"), "payload_bytes",
+        (F.col("tokens") + (F.col("pub") % 89 == 0).cast("int")).alias("tokens"),
+        F.when(F.col("pub") % 83 == 0, F.reverse("digest")).otherwise(F.col("digest")).alias("digest"),
+    )
+
+
+@query(f"""
+WITH d AS ({_DIGEST})
+SELECT pub, CASE WHEN pub % 97 = 0 THEN 'records' WHEN pub % 83 = 0 AND digest <> reverse(digest) THEN 'digest' ELSE 'usage' END AS reason
+FROM d WHERE pub % 97 = 0 OR pub % 89 = 0 OR (pub % 83 = 0 AND digest <> reverse(digest))""")
+def validate_mismatch(t: Tables) -> DataFrame:
+    return store.validate(t.record, _descriptors(t))
+
+
+@query("""
+WITH f AS (SELECT pub AS segment, ordinal, bytes AS length, 100 AS envelope, coalesce(sum(112 + bytes) OVER (PARTITION BY pub ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN pub % 101 = 0 AND ordinal = 1 THEN 5 ELSE 0 END AS offset_ FROM record),
+g AS (SELECT *, lag(offset_ + 12 + envelope + length) OVER (PARTITION BY segment ORDER BY ordinal) AS expected FROM f)
+SELECT segment, ordinal, CAST(expected AS BIGINT) AS expected, CAST(offset_ AS BIGINT) AS offset FROM g WHERE expected <> offset_""")
+def segment_boundary_check(t: Tables) -> DataFrame:
+    w = Window.partitionBy("pub").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    moved = F.when((F.col("pub") % 101 == 0) & (F.col("ordinal") == 1), 5).otherwise(0)
+    frames = t.record.select(F.col("pub").alias("segment"), "ordinal", F.col("bytes").alias("length"), F.lit(100).alias("envelope"), (F.coalesce(F.sum(F.col("bytes") + 112).over(w), F.lit(0)) + moved).alias("offset"))
+    return store.boundaries(frames)
+
+
+@query("""
+WITH RECURSIVE p AS (SELECT writer, doc_id, strlen(text) + 100 AS size, row_number() OVER (PARTITION BY writer ORDER BY doc_id) AS k FROM blob),
+r AS (
+  SELECT writer, doc_id, k, size AS used, CAST(0 AS BIGINT) AS pack FROM p WHERE k = 1
+  UNION ALL
+  SELECT p.writer, p.doc_id, p.k, CASE WHEN r.used > 0 AND r.used + p.size > 65536 THEN p.size ELSE r.used + p.size END,
+         r.pack + CASE WHEN r.used > 0 AND r.used + p.size > 65536 THEN 1 ELSE 0 END
+  FROM r JOIN p ON p.writer = r.writer AND p.k = r.k + 1
+) SELECT writer, doc_id AS seq, pack FROM r""")
+def pack_rotation(t: Tables) -> DataFrame:
+    return store.pack_rotation(t.blob.select("writer", F.col("doc_id").alias("seq"), (F.octet_length("text") + 100).alias("size")), 65_536)
+
+
+@query("SELECT pub, ordinal, record_id, bytes, tokens, codec FROM record WHERE codec = 'tensor.v1'")
+def member_envelopes_codec(t: Tables) -> DataFrame:
+    return store.envelopes(t.record, "tensor.v1")
+
+
+@query("SELECT worker AS writer, 'publish' AS api, submission_id, result, seq FROM (SELECT *, row_number() OVER (PARTITION BY worker, submission_id ORDER BY seq DESC) AS k FROM (SELECT worker, concat('s', task_id // 3) AS submission_id, task_id AS seq, concat('r', task_id) AS result FROM accepted) AS x) AS y WHERE k = 1")
+def publication_receipt(t: Tables) -> DataFrame:
+    return store.publication_receipts(t.accepted.selectExpr("worker AS writer", "'publish' AS api", "concat('s', task_id div 3) AS submission_id", "task_id AS seq", "concat('r', task_id) AS result"))
+
+
+@query("SELECT worker AS writer, count(*) AS open FROM wal AS w WHERE type = 'Leased' AND NOT EXISTS (SELECT 1 FROM wal AS d WHERE d.type = 'Completed' AND d.task_id = w.task_id AND d.worker - 6 = w.worker - w.idx) GROUP BY worker")
+def writers_unfinished(t: Tables) -> DataFrame:
+    log = t.wal.where("type IN ('Leased', 'Completed')").selectExpr("CASE type WHEN 'Leased' THEN 'begin' ELSE 'done' END AS event", "worker - idx AS base", "worker", "task_id")
+    begun = log.where("event = 'begin'").join(log.where("event = 'done'").select("base", "task_id"), ["base", "task_id"], "left_anti")
+    return begun.groupBy(F.col("worker").alias("writer")).agg(F.count("*").alias("open"))
+
+
+# queue
+
+_ORDER = "ORDER BY priority DESC, scheduling_key, pending_order"
+
+
+@query(f"""
+WITH chosen AS (SELECT * FROM task WHERE state = 'pending' AND NOT control {_ORDER} LIMIT 50)
+SELECT task_id, priority, scheduling_key, pending_order, coalesce(records, 0) AS records, coalesce(bytes, 0) AS payload_bytes, coalesce(tokens, 0) AS tokens FROM chosen LEFT JOIN record_usage ON pub = task_id""")
+def acquire_order(t: Tables) -> DataFrame:
+    chosen = queue.acquire(t.task, 50)
+    sums = store.usage(t.record.join(F.broadcast(chosen.select(F.col("task_id").alias("pub"))), "pub", "left_semi"))  # at most 50 tasks
+    out = chosen.join(sums, chosen["task_id"] == sums["pub"], "left").select("task_id", "priority", "scheduling_key", "pending_order", "records", "payload_bytes", "tokens")
+    return queue.in_order(out.fillna(0))
+
+
+@query(f"SELECT task_id, priority FROM task WHERE state = 'pending' AND NOT control AND task_id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40) {_ORDER} LIMIT 30")
+def acquire_task_set(t: Tables) -> DataFrame:
+    return queue.acquire(t.task, 30, ids=t.lineitem.where("l_quantity > 40").select(F.col("l_orderkey").alias("task_id"))).select("task_id", "priority")
+
+
+@query(f"SELECT task_id, priority FROM task WHERE state = 'pending' AND control AND CAST(task_id AS VARCHAR) LIKE '1%' {_ORDER} LIMIT 20")
+def acquire_prefix_control(t: Tables) -> DataFrame:
+    return queue.acquire(t.task, 20, control=True, prefix="1").select("task_id", "priority")
+
+
+@query("SELECT task_id, priority, control FROM task WHERE state = 'pending' AND priority >= 4")
+def pending_min_priority(t: Tables) -> DataFrame:
+    return queue.pending(t.task, min_priority=4).select("task_id", "priority", "control")
+
+
+@query("""
+WITH b AS (SELECT o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 100000000 END AS task_id FROM orders WHERE o_orderkey % 10 < 4 UNION ALL SELECT o_orderkey + 100000000 FROM orders WHERE o_orderkey % 50 = 1)
+SELECT task_id, CASE WHEN task_id IN (SELECT task_id FROM task) THEN 'known' ELSE 'repeated' END AS reason FROM b GROUP BY task_id HAVING count(*) > 1 OR task_id IN (SELECT task_id FROM task)""")
+def submit_conflicts(t: Tables) -> DataFrame:
+    o = t.orders
+    batch = o.where("o_orderkey % 10 < 4").selectExpr("o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 100000000 END AS task_id")
+    return queue.submit_conflicts(t.task, batch.union(o.where("o_orderkey % 50 = 1").selectExpr("o_orderkey + 100000000")))
+
+
+_REPLAY = """
+WITH q AS (SELECT seq, idx, task_id, row_number() OVER (ORDER BY seq, idx) - 1 AS n FROM wal WHERE type IN ('Submitted', 'Yielded')),
+o AS (SELECT task_id, max(n) AS pending_order FROM q GROUP BY task_id),
+r AS (SELECT task_id, count(*) FILTER (WHERE type = 'Failed') AS failures, arg_max(type, idx) AS last, arg_max(worker, idx) FILTER (WHERE type = 'Leased') AS worker, count(*) FILTER (WHERE type = 'Leased') AS generation FROM wal GROUP BY task_id),
+s AS (SELECT task_id, CASE last WHEN 'Leased' THEN 'leased' WHEN 'Completed' THEN 'completed' WHEN 'Failed' THEN CASE WHEN failures < 3 THEN 'pending' ELSE 'failed' END ELSE 'pending' END AS state,
+      failures, CASE WHEN last IN ('Leased', 'Completed') THEN worker END AS lease_worker, generation FROM r)
+"""
+
+
+@query(_REPLAY + "SELECT task_id, state, failures, lease_worker, generation, pending_order FROM s JOIN o USING (task_id)")
+def replay_tasks(t: Tables) -> DataFrame:
+    return replay.replay(t.wal).drop("last_seq").join(replay.pending_order(t.wal), "task_id")
+
+
+@query(_REPLAY + "SELECT state, count(*) AS n FROM s GROUP BY state")
+def task_histogram(t: Tables) -> DataFrame:
+    return queue.histogram(replay.replay(t.wal))
+
+
+@query(_REPLAY + "SELECT task_id, failures, CASE WHEN task_id % 4 <> 0 AND failures + 1 < 1 + task_id % 3 THEN 'pending' ELSE 'failed' END AS next_state FROM s WHERE state = 'leased'")
+def failures_budget(t: Tables) -> DataFrame:
+    leased = replay.replay(t.wal).where("state = 'leased'").withColumns({"retryable": F.expr("task_id % 4 <> 0"), "max_attempts": F.expr("1 + task_id % 3")})
+    return queue.after_failure(leased).select("task_id", "failures", "next_state")
+
+
+@query(f"WITH {COMMIT} SELECT position, submission_id, task_id, bytes FROM commit WHERE position >= 100 AND position < 300")
+def commits_page(t: Tables) -> DataFrame:
+    return queue.commits_page(t.commit, 100, 200).select("position", "submission_id", "task_id", "bytes")
+
+
+@query("SELECT count(*) AS n, FALSE AS end_of_input FROM accepted")
+def commits_end(t: Tables) -> DataFrame:
+    return queue.commits_end(t.accepted, t.task, True, 10)
+
+
+@query("""
+WITH s AS (SELECT submission_id, task_id * 3 AS seq, bytes AS digest FROM accepted
+  UNION ALL SELECT submission_id, task_id * 3 + 1, bytes FROM accepted WHERE task_id % 4 = 0
+  UNION ALL SELECT submission_id, task_id * 3 + 2, bytes + 1 FROM accepted WHERE task_id % 6 = 0)
+SELECT submission_id, seq, CASE WHEN row_number() OVER w = 1 THEN 'accepted' WHEN digest = first_value(digest) OVER w THEN 'receipt' ELSE 'conflict' END AS verdict FROM s WINDOW w AS (PARTITION BY submission_id ORDER BY seq)""")
+def commit_dedup_conflict(t: Tables) -> DataFrame:
+    a = t.accepted
+    s = a.selectExpr("submission_id", "task_id * 3 AS seq", "bytes AS digest")
+    s = s.union(a.where("task_id % 4 = 0").selectExpr("submission_id", "task_id * 3 + 1", "bytes")).union(a.where("task_id % 6 = 0").selectExpr("submission_id", "task_id * 3 + 2", "bytes + 1"))
+    return queue.accepted_once(s).select("submission_id", "seq", "verdict")
+
+
+@query(f"""
+WITH {COMMIT},
+a AS (SELECT coalesce(sum(records), 0) AS accepted_records, coalesce(sum(bytes), 0) AS accepted_bytes, coalesce(sum(tokens), 0) AS accepted_tokens FROM commit WHERE position >= 50 AND position % 3 <> 0),
+l AS (SELECT count(*) FILTER (WHERE NOT control) AS inflight, count(*) FILTER (WHERE control) AS control_inflight, coalesce(sum(estimated_bytes) FILTER (WHERE NOT control), 0) AS estimated_bytes FROM task WHERE state = 'leased')
+SELECT CAST(accepted_records AS BIGINT) AS accepted_records, CAST(accepted_bytes AS BIGINT) AS accepted_bytes, CAST(accepted_tokens AS BIGINT) AS accepted_tokens, inflight, control_inflight, CAST(estimated_bytes AS BIGINT) AS estimated_bytes, CAST(accepted_bytes + estimated_bytes AS BIGINT) AS total_bytes FROM a, l""")
+def usage_accounting(t: Tables) -> DataFrame:
+    c = t.commit
+    return queue.accounting(c, t.task, 50, c.where("position % 3 = 0").select("position"))
+
+
+@query(_REPLAY + "SELECT a.submission_id, a.task_id FROM accepted AS a JOIN s ON s.task_id = a.task_id WHERE s.lease_worker = 7")
+def retire_worker_receipts(t: Tables) -> DataFrame:
+    leases = replay.replay(t.wal).select("task_id", F.col("lease_worker").alias("worker"))
+    return queue.worker_receipts(t.accepted, leases, 7).select("submission_id", "task_id")
+
+
+@query("SELECT task_id AS consumer, generation AS position FROM progress WHERE acknowledged AND (generation < 2 OR generation >= 6)")
+def consumer_progress_valid(t: Tables) -> DataFrame:
+    acks = t.progress.where("acknowledged").select(F.col("task_id").alias("consumer"), F.col("generation").alias("position"))
+    return queue.progress_errors(acks, 2, 6)
+
+
+@query("SELECT doc_id AS root FROM documents WHERE doc_id < 60 AND doc_id NOT IN (SELECT child FROM edge WHERE parent = 100)")
+def checkpoint_missing_deps(t: Tables) -> DataFrame:
+    return queue.missing_dependencies(t.documents.where("doc_id < 60").select(F.col("doc_id").alias("root")), t.edge, 100)
+
+
+@query("SELECT task_id, generation, input_ref FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY generation DESC) AS k FROM progress) AS x WHERE k = 1")
+def continuation_latest(t: Tables) -> DataFrame:
+    return queue.latest_continuation(t.progress)
+
+
+# retention
+
+_REACH = "reach(root, node) AS (SELECT root, root FROM (SELECT DISTINCT root FROM owner) AS o UNION SELECT r.root, e.child FROM reach AS r JOIN edge AS e ON e.parent = r.node)"
+_OWNED = f"WITH RECURSIVE {_REACH}, owned AS (SELECT DISTINCT o.owner, p.pack FROM owner AS o JOIN reach AS r ON r.root = o.root JOIN place AS p ON p.node = r.node)"
+
+
+def _owned(t: Tables) -> DataFrame:
+    return retention.owned_packs(t.owner.select("owner", "root"), t.edge, t.place)
+
+
+def _tombstones(t: Tables) -> DataFrame:
+    return t.pack.where("tombstoned")
+
+
+@query(_OWNED + " SELECT owner, pack FROM owned")
+def closure_packs(t: Tables) -> DataFrame:
+    return _owned(t)
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT doc_id AS parent, doc_id // 2 AS child FROM documents WHERE doc_id > 0 UNION SELECT 0, 97),
+r(root, node) AS (SELECT doc_id, doc_id FROM documents WHERE doc_id IN (3, 50, 97) UNION SELECT r.root, e.child FROM r JOIN e ON e.parent = r.node) SELECT root, node FROM r""")
+def closure_of_cycle(t: Tables) -> DataFrame:
+    edges = t.documents.where("doc_id > 0").selectExpr("doc_id AS parent", "doc_id div 2 AS child").union(t.spark.sql("SELECT 0L, 97L"))
+    return retention.closure(t.documents.where("doc_id IN (3, 50, 97)").select(F.col("doc_id").alias("root")), edges)
+
+
+_GONE = "gone AS (SELECT pack, size FROM pack WHERE sealed AND NOT tombstoned AND pack NOT IN (SELECT pack FROM owned))"
+
+
+@query(f"{_OWNED}, {_GONE} SELECT pack FROM gone")
+def gc_candidates(t: Tables) -> DataFrame:
+    return retention.collectable(t.pack, _owned(t), _tombstones(t))
+
+
+@query(f"""{_OWNED}, {_GONE}
+SELECT (SELECT count(*) FROM gone) AS reclaimed_files, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM gone) AS reclaimed_bytes,
+       (SELECT count(DISTINCT owner) FROM owned) AS owners, (SELECT count(DISTINCT pack) FROM owned) AS retained_packs,
+       (SELECT count(*) FROM pack WHERE NOT sealed) AS open_packs, (SELECT count(*) FROM pack WHERE tombstoned) AS tombstones""")
+def gc_summary(t: Tables) -> DataFrame:
+    return retention.collection_summary(t.pack, _owned(t), _tombstones(t), t.pack.select("pack", "size"))
+
+
+@query(f"""
+WITH {COMMIT}
+SELECT DISTINCT root, holder FROM (
+  SELECT task_id AS root, 'task' AS holder FROM task WHERE state <> 'completed' UNION ALL SELECT task_id, 'commit' FROM commit WHERE position >= 200
+  UNION ALL SELECT task_id, 'reader' FROM task WHERE state = 'leased' UNION ALL SELECT root, 'checkpoint' FROM owner WHERE owner LIKE 'checkpoint:%') AS x""")
+def queue_roots(t: Tables) -> DataFrame:
+    part = lambda df, col, holder: df.select(F.col(col).alias("root"), F.lit(holder).alias("holder"))
+    return retention.live_roots([
+        part(t.task.where("state <> 'completed'"), "task_id", "task"), part(t.commit.where("position >= 200"), "task_id", "commit"),
+        part(t.task.where("state = 'leased'"), "task_id", "reader"), part(t.owner.where(F.col("owner").startswith("checkpoint:")), "root", "checkpoint"),
+    ])
+
+
+@query("SELECT owner FROM owner WHERE owner LIKE 'queue:%' AND c_custkey % 8 <> 0")
+def prune_owners(t: Tables) -> DataFrame:
+    return retention.dead_owners(t.owner, t.owner.where("c_custkey % 8 = 0").select("owner"), "queue:").select("owner")
+
+
+@query(f"""{_OWNED}, a(root, node) AS (SELECT doc_id, doc_id FROM documents WHERE doc_id % 9 = 4 UNION SELECT a.root, e.child FROM a JOIN edge AS e ON e.parent = a.node)
+SELECT a.root, bool_and(p.pack IN (SELECT pack FROM owned) AND p.pack NOT IN (SELECT pack FROM pack WHERE tombstoned)) AS allowed FROM a JOIN place AS p ON p.node = a.node GROUP BY a.root""")
+def reactivation_allowed(t: Tables) -> DataFrame:
+    roots = t.documents.where("doc_id % 9 = 4").select(F.col("doc_id").alias("root"))
+    return retention.reactivation(roots, t.edge, t.place, _owned(t), _tombstones(t))
+
+
+@query(f"{_OWNED} SELECT split_part(owner, ':', 1) AS category, count(DISTINCT owner) AS owners, count(DISTINCT pack) AS packs, min(owner) AS first_owner FROM owned GROUP BY 1")
+def retention_summary(t: Tables) -> DataFrame:
+    return retention.retention_summary(_owned(t))
+
+
+@query(f"{_OWNED} SELECT pack, CASE WHEN sealed THEN 'sealed' ELSE 'partial' END AS kind FROM pack WHERE pack NOT IN (SELECT pack FROM owned)")
+def orphan_segments(t: Tables) -> DataFrame:
+    return retention.orphans(t.pack, _owned(t))
+
+
+# ranges and tensors
+
+
+@query("SELECT doc_id, c AS chunk, sha256(from_hex(substr(hex(encode(text)), c * 2048 + 1, 2048))) AS digest FROM (SELECT doc_id, text, unnest(range((50 + doc_id % 700) // 1024, (least(strlen(text), 1800 + doc_id % 3000) - 1) // 1024 + 1)) AS c FROM documents WHERE 50 + doc_id % 700 < least(strlen(text), 1800 + doc_id % 3000)) AS x")
+def read_range_chunks(t: Tables) -> DataFrame:
+    asked = t.documents.select("doc_id", F.expr("50 + doc_id % 700").alias("start"), F.expr("least(octet_length(text), 1800 + doc_id % 3000)").alias("stop"))
+    return tensors.range_chunks(asked, 1024).join(tensors.chunk_table(t.documents, "doc_id", "text", 1024), ["doc_id", "chunk"]).select("doc_id", "chunk", "digest")
+
+
+@query("SELECT pos, doc_id, substr(hex(encode(text)), 2 * s + 1, 2 * (e - s)) AS bytes, TRUE AS intact FROM (SELECT doc_id, text, k * 100000 + doc_id AS pos, 10 + 500 * k AS s, least(strlen(text), 10 + 500 * k + 1500) AS e FROM documents, range(3) AS r(k)) AS x WHERE s < e")
+def read_ranges_batch(t: Tables) -> DataFrame:
+    asked = t.documents.select("doc_id", F.octet_length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    asked = asked.selectExpr("k * 100000 + doc_id AS pos", "doc_id", "10 + 500 * k AS start", "least(n, 10 + 500 * k + 1500) AS stop")
+    got = tensors.read_ranges(asked, tensors.chunk_table(t.documents, "doc_id", "text", 1024), "doc_id", 1024)
+    return got.withColumn("bytes", F.hex("bytes"))
+
+
+@query("SELECT vec_id, array_to_string(list_transform(embedding[9:24], lambda x: CAST(round(x * 1000) AS BIGINT)), ',') AS rows FROM embeddings")
+def tensor_slice(t: Tables) -> DataFrame:
+    cut = tensors.rows(t.embeddings, "embedding", 8, 1, 2)
+    return cut.select("vec_id", F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("bigint").cast("string")), ",").alias("rows"))
+
+
+@query("SELECT vec_id, array_to_string(list_transform(range(64), lambda i: CASE WHEN vec_id % 2 = 0 AND i // 8 = vec_id % 8 THEN i % 8 + 90 ELSE CAST(round(embedding[i + 1] * 1000) AS BIGINT) END), ',') AS rows FROM embeddings")
+def tensor_cow(t: Tables) -> DataFrame:
+    whole = t.embeddings.select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("bigint")).alias("embedding"))
+    new = t.embeddings.where("vec_id % 2 = 0").select("vec_id", F.expr("vec_id % 8").alias("row"), F.expr("sequence(90L, 97L)").alias("new"))
+    return tensors.updated(whole, new, "vec_id", "embedding", 8).select("vec_id", F.array_join(F.transform("embedding", lambda x: x.cast("string")), ",").alias("rows"))
+
+
+@query("SELECT vec_id, CAST(8 * (8 + CASE WHEN vec_id % 13 = 0 THEN 1 ELSE 0 END) * 4 AS BIGINT) AS expected, len(embedding) * 4 AS nbytes FROM embeddings WHERE vec_id % 13 = 0")
+def tensor_layout_check(t: Tables) -> DataFrame:
+    shown = t.embeddings.select("vec_id", F.expr("array(8L, 8L + CASE WHEN vec_id % 13 = 0 THEN 1 ELSE 0 END)").alias("shape"), F.lit("float32").alias("dtype"), (F.size("embedding") * 4).cast("bigint").alias("nbytes"))
+    return tensors.layout_errors(shown).select("vec_id", "expected", "nbytes")
+
+
+# scalars
+
+
+@query("""
+SELECT doc_id, CASE WHEN s <= e AND e <= n THEN CASE WHEN s = e THEN s ELSE s // 512 * 512 END END AS first, CASE WHEN s <= e AND e <= n THEN CASE WHEN s = e THEN e ELSE least(n, (e + 511) // 512 * 512) END END AS last
+FROM (SELECT doc_id, strlen(text) AS n, doc_id % 900 AS s, doc_id * 7 % 2000 AS e FROM documents) AS x""")
+def authenticated_span(t: Tables) -> DataFrame:
+    x = t.documents.select("doc_id", F.octet_length("text").cast("bigint").alias("n"), F.expr("doc_id % 900").alias("s"), F.expr("doc_id * 7 % 2000").alias("e"))
+    return x.withColumn("span", canon.authenticated_span(F.col("s"), F.col("e"), F.lit(512), F.col("n"))).select("doc_id", "span.first", "span.last")
+
+
+@query("""SELECT o_orderkey, sha256('{"control":' || CASE WHEN o_orderkey % 50 = 0 THEN 'true' ELSE 'false' END || ',"input":' || CASE WHEN o_orderkey % 7 = 0 THEN 'null' ELSE '"r' || o_orderkey || '"' END || ',"priority":' || o_custkey % 5 || '}') AS digest FROM orders""")
+def canonical_digest(t: Tables) -> DataFrame:
+    fields = {"priority": F.expr("o_custkey % 5"), "control": F.expr("o_orderkey % 50 = 0"), "input": F.expr("CASE WHEN o_orderkey % 7 <> 0 THEN concat('r', o_orderkey) END")}
+    return t.orders.select("o_orderkey", canon.digest(fields).alias("digest"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_shipdate) AS k FROM lineitem) AS x WHERE k = 1")
+def first_occurrences(t: Tables) -> DataFrame:
+    return canon.first_occurrences(t.lineitem, ["l_orderkey"], ["l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"]).select("l_orderkey", "l_partkey", "l_suppkey")
+
+
+# traces
+
+
+def _peak(seconds: int) -> str:
+    return f"SELECT CAST(max(b) AS BIGINT) AS peak_bytes, count(*) AS windows FROM (SELECT sum(bytes) AS b FROM trace WHERE op = 'write' GROUP BY second // {seconds}) AS x"
+
+
+@query(_peak(1))
+def trace_peak_1s(t: Tables) -> DataFrame:
+    return profile.peak(t.trace, 1)
+
+
+@query(_peak(10))
+def trace_peak_10s(t: Tables) -> DataFrame:
+    return profile.peak(t.trace, 10)
+
+
+@query("""
+WITH r AS (SELECT op, bytes, row_number() OVER (PARTITION BY op ORDER BY bytes) - 1 AS k, count(*) OVER (PARTITION BY op) AS n FROM trace)
+SELECT op, max(n) AS n, max(bytes) FILTER (WHERE k = 99 * (n - 1) // 100) AS floor_index, max(bytes) FILTER (WHERE k = (n * 99 + 99) // 100 - 1) AS nearest_rank FROM r GROUP BY op""")
+def trace_percentile(t: Tables) -> DataFrame:
+    return profile.percentiles(t.trace, "op", "bytes", 99)
+
+
+@query("SELECT op, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, max(bytes) AS largest, CASE WHEN count(checked_bytes) = count(*) THEN CAST(sum(checked_bytes) AS BIGINT) END AS checked_bytes FROM trace GROUP BY op")
+def trace_profile(t: Tables) -> DataFrame:
+    return profile.profile(t.trace)
+
+
+@query(f"WITH {COMMIT} SELECT position, position % 4 AS rank, (worker + 2) % 3 AS producer FROM commit")
+def ring_assignment(t: Tables) -> DataFrame:
+    return profile.ring(t.commit.withColumn("host", F.col("worker")), "position", 4, 3).select("position", "rank", "producer")
+
+
+@query(f"WITH {COMMIT} SELECT position // 16 AS load, count(*) AS publications, CAST(sum(bytes) AS BIGINT) AS bytes FROM commit GROUP BY 1")
+def load_sizes(t: Tables) -> DataFrame:
+    return profile.loads(t.commit, "position", "bytes", 16)
