@@ -26,13 +26,13 @@ def digest(fields: Mapping[str, Column]) -> Column:
 def checked_add(a: Column, b: Column) -> Column:
     """The sum as an unsigned 64-bit counter, or null if it does not fit."""
     total = a.cast("decimal(20,0)") + b.cast("decimal(20,0)")
-    return F.when((a >= 0) & (b >= 0) & (total <= F.lit(U64_MAX).cast("decimal(20,0)")), total.cast("decimal(20,0)"))
+    return F.when((a >= 0) & (b >= 0) & (total <= F.lit(str(U64_MAX)).cast("decimal(20,0)")), total.cast("decimal(20,0)"))
 
 
 def valid_counter(x: Column) -> Column:
     """Whether text is a whole number that an unsigned 64-bit counter holds."""
     n = F.when(x.rlike("^[0-9]{1,20}$"), x.try_cast("decimal(20,0)"))
-    return F.coalesce(n <= F.lit(U64_MAX).cast("decimal(20,0)"), F.lit(False))
+    return F.coalesce(n <= F.lit(str(U64_MAX)).cast("decimal(20,0)"), F.lit(False))
 
 
 def authenticated_span(start: Column, stop: Column, chunk: Column, length: Column) -> Column:

@@ -1,0 +1 @@
+"""Streams over the event log, the commits and the traces."""
