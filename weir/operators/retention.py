@@ -8,27 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """df computed once, in the folder that all executors share if there is one."""
-    sc = df.sparkSession.sparkContext
-    top = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        if top:
-            sc.setCheckpointDir(top)
-        else:
-            import tempfile
-
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="weir-"))
-    return df.checkpoint()
+from weir.sources.kept import kept
 
 
 def closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """(root, node) for all nodes that a root reaches, itself too. Only new pairs go on, so cycles end."""
-    seen = frontier = _kept(roots.select("root", F.col("root").alias("node")).distinct())
+    seen = frontier = kept(roots.select("root", F.col("root").alias("node")).distinct())
     while not frontier.isEmpty():
         step = frontier.join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node")).distinct()
-        frontier = _kept(step.join(seen, ["root", "node"], "left_anti"))
+        frontier = kept(step.join(seen, ["root", "node"], "left_anti"))
         seen = seen.union(frontier)
     return seen
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weir.functions.canon import frame_end, sha256_hex
+from weir.sources.kept import kept
 
 
 def record_checksums(blobs: DataFrame, id: str, payload: str) -> DataFrame:
@@ -33,17 +34,20 @@ def usage(records: DataFrame) -> DataFrame:
 def result_usage(records: DataFrame, edges: DataFrame, levels: int = 64) -> DataFrame:
     """Bytes and tokens with those of dependencies, a shared one counted each time; records are a set's own.
 
-    One join a level upward; ends when no path goes on, which a dependency graph without cycles reaches.
+    One join for each level of dependencies. Of the paths to a dependency only the number is kept. A graph with
+    a cycle has no end and is refused after `levels`.
     """
     own = usage(records)
-    total = walk = own.select(F.col("pub").alias("top"), "pub", "payload_bytes", "tokens")
-    step = walk.select("top", "pub").distinct()
+    step = own.select(F.col("pub").alias("top"), "pub", F.lit(1).cast("bigint").alias("paths"))
+    reached = step
     for _ in range(levels):
-        step = step.join(edges, "pub").select("top", F.col("dep").alias("pub")).checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else step.join(edges, "pub").select("top", F.col("dep").alias("pub"))
+        step = kept(step.join(edges, "pub").groupBy("top", F.col("dep").alias("pub")).agg(F.sum("paths").alias("paths")))
         if step.isEmpty():
             break
-        total = total.union(step.join(own, "pub").select("top", "pub", "payload_bytes", "tokens"))
-    sums = total.groupBy("top").agg(F.sum("payload_bytes").alias("payload_bytes"), F.sum("tokens").alias("tokens"))
+        reached = reached.union(step)
+    else:
+        raise ValueError("dependencies go on without end")
+    sums = reached.join(own.drop("records"), "pub").groupBy("top").agg(*[F.sum(F.col("paths") * F.col(c)).alias(c) for c in ("payload_bytes", "tokens")])
     return own.select("pub", "records").join(sums.withColumnRenamed("top", "pub"), "pub")
 
 
