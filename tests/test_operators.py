@@ -93,3 +93,24 @@ def test_ownership_sets(spark):
     assert rows(retention.retained(owned, "o:1", roots, edges, places)) == [("o:1", 50), ("o:1", 60), ("p:1", 2)]
     assert rows(retention.released(owned, "o:1")) == [("p:1", 2)]
     assert rows(retention.held_too(owned, "o:1", spark.createDataFrame([(1,), (3,)], "pack int"))) == [("o:1", 1), ("o:1", 3), ("p:1", 2)]
+
+
+def test_publication_is_idempotent(spark, tmp_path):
+    from weir.errors import IdempotencyConflict, InvalidReference
+    from weir.operators import publish
+
+    schema = "pub int, ordinal int, record_id string, payload binary, codec string, tokens int"
+    one_ = spark.createDataFrame([(0, 0, "a", b"x", "bytes.v1", 1), (0, 1, "b", b"y", "bytes.v1", 1), (1, 0, "c", b"z", "bytes.v1", 1)], schema)
+    first = publish.publish_many(one_, str(tmp_path), "s").collect()
+    assert sorted(publish.publish_many(one_, str(tmp_path), "s").collect()) == sorted(first)
+    with pytest.raises(IdempotencyConflict):
+        publish.publish_many(one_.withColumn("payload", F.lit(b"q")), str(tmp_path), "s")
+    with pytest.raises(ValueError):
+        publish.publish_many(one_.union(one_), str(tmp_path), "t")
+    assert [bytes(r.payload) for r in publish.read_published(spark, str(tmp_path), "s", 0, verify=True).collect()] == [b"x", b"y"]
+    with pytest.raises(InvalidReference):
+        publish.read_published(spark, str(tmp_path), "none", 0)
+    r = publish.tensor_record("t", np.arange(6, dtype=np.int16).reshape(2, 3), chunk=8)
+    assert r["nbytes"] == 12 and len(r["digests"]) == 2 and r["shape"] == [2, 3]
+    with pytest.raises(TypeError):
+        publish.tensor_record("t", np.array([1j]))
