@@ -12,7 +12,8 @@ TEXTS = [
     "Frau Erika Mustermann sprach mit Herr Muster. Г-жа Анна Иванова. Mr. John Smith; Mr. John Smith",
     "DE89 3704 0044 0532 0130 00 is an account; AB12 CD is not",
     "Nothing here, 12 or 2024-01-02 or a@b.", "", None, "@", "x 9.9.9 y",
-]
+]
+WORDS_ONLY = ["my password=hunterhunter and secret: 'opensesame' or token=abcdefgh"]
 
 
 def run(spark, texts, key="k"):
@@ -39,6 +40,7 @@ def test_kinds_formats_and_coreference(spark):
         assert got[i].text == TEXTS[i] and got[i].pii.n_entities == 0
     assert got[4].pii.kinds == ["person"] and got[1].pii.n_entities == 4
     assert run(spark, TEXTS[:1], "other")[0].text != a
+    assert re.fullmatch(r"my password=[a-z]{12} and secret: '[a-z]{10}' or token=[a-z]{8}", run(spark, WORDS_ONLY)[0].text) and "hunter" not in run(spark, WORDS_ONLY)[0].text
 
 
 @pytest.mark.parametrize("few", [5_000, 0])

@@ -13,7 +13,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(crc32_of("doc_id") % 5 != 0)
     found = score(docs, train_on(docs, labels), keep=["doc_id"])
-    return found.select("doc_id", (crc32_of("doc_id") % 5 == 0).alias("held_out"), "toxicity.score", "toxicity.predicted")
+    return found.select("doc_id", F.coalesce(crc32_of("doc_id") % 5 == 0, F.lit(False)).alias("held_out"), "toxicity.score", "toxicity.predicted")
 
 
 QUERIES = {"op9_toxicity": op9_toxicity}
