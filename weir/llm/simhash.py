@@ -185,6 +185,7 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     mine = fresh(docs, "_near_id")
     times = fresh(docs, "_near_n")
     stay = stay.select(F.col("id").alias(mine), F.col("n").alias(times))
-    kept = docs.join(stay, F.col(f"`{id}`").cast("bigint").eqNullSafe(F.col(mine)))
+    # sorted at every size: whether the ids happen to be few enough to broadcast says nothing of larger inputs
+    kept = docs.join(stay.hint("merge"), F.col(f"`{id}`").cast("bigint").eqNullSafe(F.col(mine)))
     again = kept.where(F.col(times) > 1).dropDuplicates([mine])
     return kept.where(F.col(times) == 1).unionByName(again).drop(mine, times)
