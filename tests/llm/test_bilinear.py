@@ -48,3 +48,40 @@ def test_empty_tables(spark):
     r = b.score(docs, docs.limit(0)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
     assert b.score(docs.limit(0), docs).count() == 0
+
+
+def test_a_step_follows_the_gradient_of_its_loss():
+    """With the noise fixed, a small step along each parameter's gradient raises the contrastive objective as told."""
+    rng = np.random.default_rng(4)
+    classes = rng.integers(0, b.CLASSES, 40)
+    inside = np.minimum(np.r_[np.arange(15), np.arange(25)], b.CONTEXT)
+    end = 7
+
+    class Fixed:
+        def random(self, n):
+            return (np.arange(n) % 9 + 0.5) / b.CLASSES
+
+    def model():
+        return b.Model(np.full(b.CLASSES, 1 / b.CLASSES, np.float32))
+
+    def objective(m):
+        ctx = b._contexts(classes, np.array([0, 15]), end)
+        p = m.predicted(ctx).astype(np.float64)
+        off = np.log(b.NOISE * m.prior)
+        noise = np.arange(b.NOISE) % 9
+        up = (p * m.q[classes]).sum(1) + m.b[classes] - off[classes]
+        down = p @ m.q[noise].T + (m.b - off)[noise]
+        return -np.log1p(np.exp(-up)).sum() - np.log1p(np.exp(down)).sum()
+
+    base = objective(model())
+    for name in ("r", "q", "c", "b"):
+        m, told = model(), model()
+        told._g = [np.ones_like(g, np.float64) * 1e12 for g in told._g]  # then a step is the gradient times a constant
+        before = getattr(told, name).astype(np.float64).copy()
+        for k in ("r", "q", "c", "b"):
+            setattr(told, k, getattr(told, k).astype(np.float64))
+        told.learn(np.full(b.CONTEXT, end), inside, classes, end, Fixed(), rate=1e6)
+        g = (getattr(told, name) - before) * len(classes)
+        eps = 1e-3 / np.abs(g).max()
+        setattr(m, name, getattr(m, name).astype(np.float64) + eps * g)
+        assert objective(m) - base == pytest.approx(eps * (g * g).sum(), rel=0.05)

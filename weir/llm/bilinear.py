@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ CONTEXT, DIM = 5, 24
 HEAD = 150_000
 #: The end of a text, which no word can be.
 END = b" "
-NOISE, STEP, SCORE_STEP = 48, 2048, 8192
+NOISE, STEP, SCORE_STEP = 48, 2048, 768
 #: Distinct words that a task counts before it passes them on.
 PARTIAL = 400_000
 
@@ -94,8 +95,7 @@ class Vocabulary:
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Row in the head (-1: not there) and class of each word."""
-        get = self.rows.get
-        rows = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        rows = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
         classes = self.classes[rows] if len(self.classes) else np.zeros(len(rows), np.int64)
         for k in np.flatnonzero(rows < 0).tolist():
             classes[k] = shared_class(words[k])
@@ -123,11 +123,29 @@ def _contexts(classes: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
-def _sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(index.astype(np.int16), kind="stable")
-    s = index[order]
-    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    return s[first], np.add.reduceat(rows[order], first, 0)
+def _sums(index: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of rows by class."""
+    width = rows.shape[1]
+    places = (index[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(places, rows.ravel(), CLASSES * width).reshape(CLASSES, width)
+
+
+def _gathered(placed: list[np.ndarray], context: np.ndarray) -> np.ndarray:
+    out = placed[0].take(context[:, 0], 0)
+    for k in range(1, CONTEXT):
+        out += placed[k].take(context[:, k], 0)
+    return out
+
+
+def _off(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place."""
+    np.clip(x, -30, 30, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+_ONES = np.ones(CLASSES, np.float32)
 
 
 class Model:
@@ -138,55 +156,79 @@ class Model:
         self.q = (r.standard_normal((CLASSES, DIM)) * 0.1).astype(np.float32)
         self.c = (np.ones((CONTEXT, DIM)) / CONTEXT).astype(np.float32)
         self.b = np.log(prior)
+        self.offset, self.cumulated = np.log(NOISE * prior), np.cumsum(prior.astype(np.float64) / prior.sum(dtype=np.float64))
         self._g = [np.full_like(x, 1e-2) for x in (self.r, self.q, self.c, self.b)]
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
-        out = self.r[context[:, 0]] * self.c[0]
+        return _gathered([self.r * c for c in self.c], context)
+
+    def learn(self, before: np.ndarray, inside: np.ndarray, words: np.ndarray, end: int, rng: np.random.Generator, rate: float = 0.08) -> None:
+        """One step of noise-contrastive estimation over a run of words; noise words are shared by the step.
+
+        before: the CONTEXT classes ahead of the run; inside: for each word, how many words of its text stand
+        before it (CONTEXT at most). Vectors are fetched and gradients summed by class once for the run, as
+        the contexts of neighbours are the same words shifted.
+        """
+        n, row = len(words), np.concatenate([before, words])
+        vectors = np.ascontiguousarray(self.r[row].T)  # one row for each entry: long rows are quick to work on
+        c = [x[:, None] for x in self.c]
+        at = [slice(CONTEXT - 1 - k, CONTEXT - 1 - k + n) for k in range(CONTEXT)]
+        outside = [np.flatnonzero(inside <= k) for k in range(CONTEXT)]
+        seen = [vectors[:, at[k]] for k in range(CONTEXT)]
+        for k, o in enumerate(outside):
+            if len(o):
+                seen[k] = seen[k].copy()
+                seen[k][:, o] = self.r[end][:, None]
+        p = seen[0] * c[0]
         for k in range(1, CONTEXT):
-            out += self.r[context[:, k]] * self.c[k]
-        return out
-
-    def learn(self, context: np.ndarray, words: np.ndarray, rng: np.random.Generator, rate: float = 0.08) -> None:
-        """One step of noise-contrastive estimation; the noise words are shared by the step."""
-        noise = rng.choice(CLASSES, NOISE, p=self.prior64)
-        p = self.predicted(context)
-        offset = np.log(NOISE * self.prior)
-        up = np.einsum("nd,nd->n", p, self.q[words]) + self.b[words] - offset[words]
-        down = p @ self.q[noise].T + self.b[noise] - offset[noise]
-        up = 1 / (1 + np.exp(np.clip(up, -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(down, -30, 30)))
-        dp = up[:, None] * self.q[words] + down @ self.q[noise]
-        gq, gb = np.zeros_like(self.q), np.zeros_like(self.b)
-        i, s = _sums(words, np.hstack([up[:, None] * p, up[:, None]]))
-        gq[i], gb[i] = s[:, :-1], s[:, -1]
-        np.add.at(gq, noise, down.T @ p)
-        np.add.at(gb, noise, down.sum(0))
-        gr, gc = np.zeros_like(self.r), np.empty_like(self.c)
+            p += seen[k] * c[k]
+        noise = np.minimum(np.searchsorted(self.cumulated, rng.random(NOISE), side="right"), CLASSES - 1)
+        offset = self.offset
+        own_q, noise_q = np.ascontiguousarray(self.q[words].T), self.q[noise]
+        up = _off((p * own_q).sum(0) + (self.b - offset)[words])
+        down = -_off(-(noise_q @ p + (self.b - offset)[noise][:, None]))
+        dp = up * own_q + noise_q.T @ down
+        gq = _sums(words, (up * p).T).astype(np.float32)
+        gb = np.bincount(words, up, CLASSES).astype(np.float32)
+        np.add.at(gq, noise, down @ p.T)
+        np.add.at(gb, noise, down.sum(1))
+        gc, back, ends = np.empty_like(self.c), np.zeros_like(vectors), np.zeros(DIM, np.float32)
         for k in range(CONTEXT):
-            gc[k] = np.einsum("nd,nd->d", dp, self.r[context[:, k]])
-            i, s = _sums(context[:, k], dp)
-            gr[i] += s * self.c[k]
+            gc[k] = (dp * seen[k]).sum(1)
+            own, o = dp * c[k], outside[k]
+            if len(o):
+                ends += own[:, o].sum(1)
+                own[:, o] = 0
+            back[:, at[k]] += own
+        gr = _sums(row, back.T).astype(np.float32)
+        gr[end] += ends
         for x, g, acc in zip((self.r, self.q, self.c, self.b), (gr, gq, gc, gb), self._g, strict=True):
-            g /= len(words)
+            g /= n
             acc += g * g
             x += rate * g / np.sqrt(acc)
 
-    @property
-    def prior64(self) -> np.ndarray:
-        p = self.prior.astype(np.float64)
-        return p / p.sum()
-
     def log10_of(self, context: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Batches are small enough for their scores to stay in cache. Scores are far below where a float
+        overflows, which the norms say at once; else the rows' maxima are taken out first."""
+        placed = [self.r * c for c in self.c]
+        reach = sum(float(np.sqrt((p * p).sum(1)).max()) for p in placed) * float(np.sqrt((self.q * self.q).sum(1)).max())
+        safe = reach + float(np.abs(self.b).max()) < 80
+        q, own_q = np.vstack([self.q.T, self.b]), self.q
+        p = np.ones((min(SCORE_STEP, max(1, len(words))), DIM + 1), np.float32)
+        s = np.empty((len(p), CLASSES), np.float32)
         out = np.empty(len(words))
         for a in range(0, len(words), SCORE_STEP):
             w = words[a : a + SCORE_STEP]
-            s = self.predicted(context[a : a + SCORE_STEP]) @ self.q.T
-            s += self.b
-            own = s[np.arange(len(w)), w]
-            top = s.max(1)
-            s -= top[:, None]
-            np.exp(s, out=s)
-            out[a : a + SCORE_STEP] = own - top - np.log(s.sum(1, dtype=np.float64))
+            n = len(w)
+            p[:n, :DIM] = _gathered(placed, context[a : a + SCORE_STEP])
+            own = np.einsum("nd,nd->n", p[:n, :DIM], own_q[w]) + self.b[w]
+            x = np.matmul(p[:n], q, out=s[:n])
+            if not safe:
+                top = x.max(1)
+                x -= top[:, None]
+                own = own - top
+            np.exp(x, out=x)
+            out[a : a + n] = own - np.log(x @ _ONES)
         return out / np.log(10)
 
     def flat(self) -> np.ndarray:
@@ -224,11 +266,10 @@ def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", seed: int = 3)
         for own in _batches(([*words_of_bytes(x), END] for b in batches for x in _texts(b)), 32 * STEP):
             sizes = np.array([len(w) for w in own])
             _, classes = v.look_up([w for o in own for w in o])
-            context = _contexts(classes, np.cumsum(sizes) - sizes, v.end)
-            order = rng.permutation(len(classes))
-            for a in range(0, len(order), STEP):
-                k = order[a : a + STEP]
-                m.learn(context[k], classes[k], rng)
+            inside = np.minimum(np.arange(len(classes)) - np.repeat(np.cumsum(sizes) - sizes, sizes), CONTEXT)
+            ahead = np.concatenate([np.full(CONTEXT, v.end), classes])
+            for a in rng.permutation(np.arange(0, len(classes), STEP)).tolist():
+                m.learn(ahead[a : a + CONTEXT], inside[a : a + STEP], classes[a : a + STEP], v.end, rng)
             total += len(classes)
         if total:
             flat = m.flat()
@@ -256,7 +297,7 @@ def score(docs: DataFrame, train_on: DataFrame, id: str = "doc_id", text: str =
         v, m = shared.value
         for b in batches:
             ids, at = b.column(0), 0
-            for own in _batches(([*words_of_bytes(x), END] for x in _texts(b, 1)), 16 * SCORE_STEP):
+            for own in _batches(([*words_of_bytes(x), END] for x in _texts(b, 1)), 1 << 17):
                 sizes = np.array([len(w) for w in own])
                 starts = np.cumsum(sizes) - sizes
                 flat = [w for o in own for w in o]
@@ -265,11 +306,14 @@ def score(docs: DataFrame, train_on: DataFrame, id: str = "doc_id", text: str =
                 known = rows >= 0
                 logs = np.where(known, v.logs[rows], 0.0) if len(v.logs) else np.zeros(len(rows))
                 lp += np.where(classes >= OWN, logs, 0.0)
-                tails = [list(Counter(flat[k] for k in (np.flatnonzero(~known[s : s + n]) + s).tolist()).items()) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-                kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+                lost = np.flatnonzero(~known)
+                ends = np.searchsorted(lost, np.r_[starts, len(flat)])
+                tails = [Counter([flat[k] for k in lost[a:z].tolist()]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                pairs = pa.StructArray.from_arrays([pa.array([w for t in tails for w in t], pa.binary()), pa.array([n for t in tails for n in t.values()], pa.int64())], names=["word", "n"])
+                tail = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(t) for t in tails])], pa.int32()), pairs)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, len(own)), pa.array(sizes, pa.int64()), pa.array(np.add.reduceat(known, starts, dtype=np.int64)),
-                     pa.array(np.add.reduceat(logs, starts)), pa.array(np.add.reduceat(lp, starts)), pa.array([[{"word": w, "n": n} for w, n in t] for t in tails], kind)],
+                     pa.array(np.add.reduceat(logs, starts)), pa.array(np.add.reduceat(lp, starts)), tail],
                     names=["id", "n_tokens", "known", "logs", "lp", "tail"],
                 )
                 at += len(own)
