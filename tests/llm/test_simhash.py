@@ -79,6 +79,18 @@ def test_one_of_each_with_repeated_rows_and_nulls(spark):
     assert got[0].asDict().keys() == {"doc_id", "text", "fp"}
 
 
+def test_one_of_each_with_null_and_repeated_ids_of_other_texts(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, words(k), k) for k in range(5)] + [(None, words(4), 5)]  # null ids: five texts, one of them twice
+    rows += [(7, words(10), 6), (7, words(11), 7)]  # one id, two texts
+    rows += [(3, words(12), 8), (8, words(12), 9), (8, words(13), 10)]  # 8 stays for its own text only
+    rows += [(9, words(0), 11)]  # an id comes before null
+    got = one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string, row int").repartition(3)).collect()
+    at = {r.row for r in got}
+    assert len(got) == len(at) and len(at & {4, 5}) == 1
+    assert at - {4, 5} == {11, 1, 2, 3, 6, 7, 8, 10}
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string, id string")
     assert near_duplicates(empty).count() == 0

@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -61,12 +61,14 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [fingerprint(x) if x else 0 for x in b.column(1).cast(pa.large_binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.int64())], names=["id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.int64()), *b.columns[2:]], names=["id", "fp", *b.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp) for each row."""
-    return docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(_fingerprints, "id bigint, fp bigint")
+def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", digest: str | None = None) -> DataFrame:
+    """(id, fp) for each row, and the digest if its column is named."""
+    own = [] if digest is None else [F.col(f"`{digest}`").alias("digest")]
+    schema = "id bigint, fp bigint" + ", digest string" * len(own)
+    return docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"), *own).mapInArrow(_fingerprints, schema)
 
 
 #: The values that differ in one or two of 16 bits.
@@ -161,31 +163,45 @@ def index(nodes: DataFrame) -> DataFrame:
     return nodes.select("fp", F.explode(kinds).alias("p")).select("p.kind", "p.key", "fp")
 
 
+def _roots(nodes: DataFrame) -> DataFrame:
+    """nodes with the least fingerprint (root) of each one's component."""
+    postings = index(nodes.select("fp")).repartition("kind", "key").sortWithinPartitions("kind", "key")
+    links = postings.mapInArrow(_links, "a bigint, b bigint")
+    root = components(links, "a", "b").select(F.col("node").alias("fp"), "root")
+    return nodes.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fp, component, copies) for each row of docs: component is the least id reachable over links."""
     fps = written(fingerprints(docs, id, text))
     nodes = written(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    postings = index(nodes.select("fp")).repartition("kind", "key").sortWithinPartitions("kind", "key")
-    links = postings.mapInArrow(_links, "a bigint, b bigint")
-    root = components(links, "a", "b").select(F.col("node").alias("fp"), "root")
-    rooted = nodes.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _roots(nodes)
     least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
     found = rooted.join(least, "root").select("fp", "component", "copies")
     return fps.join(found, "fp").select("id", "fp", "component", "copies")
 
 
+def _digest(text: Column) -> Column:
+    """SHA-256 of a text; that of a null text is blank."""
+    return F.coalesce(F.sha2(text.cast("binary"), 256), F.lit(""))
+
+
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each near-duplicate component: the one with the least id.
+    """docs with one row of each near-duplicate component: the one with the least id, null after all others.
 
-    Rows that repeat an id are the only ones that are compared as whole rows; among equal ids one row
-    stays. A null id counts as an id of its own, after all others.
+    A row is known by its id and its text's digest: rows that share an id, or have none, are apart when their
+    texts are. Among a component's rows of the least id the least digest stays, and one row of those that
+    agree in both.
     """
-    near = written(near_duplicates(docs, id, text).select("id", "component"))
-    stay = near.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("id").agg(F.count("*").alias("n"))
-    mine = fresh(docs, "_near_id")
-    times = fresh(docs, "_near_n")
-    stay = stay.select(F.col("id").alias(mine), F.col("n").alias(times))
+    mine, own, like, times = (fresh(docs, c) for c in ("_near_id", "_near_text", "_near_like", "_near_n"))
+    marked = docs.withColumn(own, _digest(F.col(f"`{text}`")))
+    fps = fingerprints(marked, id, text, own)
+    same = fps.groupBy("fp", "id", "digest").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest", "n"))
+    nodes = written(same.groupBy("fp").agg(first.alias("first")))
+    stay = _roots(nodes).groupBy("root").agg(F.min("first").alias("first"))
+    stay = stay.select(F.col("first.id").alias(mine), F.col("first.digest").alias(like), F.col("first.n").alias(times))
     # sorted at every size: whether the ids happen to be few enough to broadcast says nothing of larger inputs
-    kept = docs.join(stay.hint("merge"), F.col(f"`{id}`").cast("bigint").eqNullSafe(F.col(mine)))
-    again = kept.where(F.col(times) > 1).dropDuplicates([mine])
-    return kept.where(F.col(times) == 1).unionByName(again).drop(mine, times)
+    kept = marked.join(stay.hint("merge"), F.col(f"`{id}`").cast("bigint").eqNullSafe(F.col(mine)) & (F.col(own) == F.col(like)))
+    again = kept.where(F.col(times) > 1).dropDuplicates([mine, own])
+    return kept.where(F.col(times) == 1).unionByName(again).drop(mine, own, like, times)
