@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weir.functions import canon
 from weir.operators import profile, queue, replay, retention, store, tensors
 
-from .fixtures import view, with_views
+from .fixtures import OWNER, OWNER_ALL, dialect, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,14 @@ class Tables:
         return canon.positions(self.accepted, ["o_orderdate", "task_id"], "position").drop("o_orderdate")
 
 
+class AllOwners(Tables):
+    """The same, with every customer as an owner."""
+
+    @property
+    def owner(self) -> DataFrame:
+        return view(self.spark, self.sf_dir, "owner_all")
+
+
 COMMIT = "commit AS (SELECT row_number() OVER (ORDER BY o_orderdate, task_id) - 1 AS position, * EXCLUDE (o_orderdate) FROM accepted)"
 
 
@@ -44,6 +52,14 @@ def query(sql: str) -> Callable:
     return register
 
 
+def over_all_owners(f: Callable[[Tables], DataFrame]) -> Callable:
+    """Registers a query that is registered already once more, as NAME_all, over every customer and document."""
+    name = f"{f.__name__}_all"
+    QUERIES[name] = lambda spark, sf_dir: f(AllOwners(spark, sf_dir))
+    ORACLES[name] = ORACLES[f.__name__].replace(dialect(OWNER), dialect(OWNER_ALL))
+    return f
+
+
 # store
 
 
@@ -261,6 +277,7 @@ def _tombstones(t: Tables) -> DataFrame:
     return t.pack.where("tombstoned")
 
 
+@over_all_owners
 @query(_OWNED + " SELECT owner, pack FROM owned")
 def closure_packs(t: Tables) -> DataFrame:
     return _owned(t)
@@ -277,11 +294,13 @@ def closure_of_cycle(t: Tables) -> DataFrame:
 _GONE = "gone AS (SELECT pack, size FROM pack WHERE sealed AND NOT tombstoned AND pack NOT IN (SELECT pack FROM owned))"
 
 
+@over_all_owners
 @query(f"{_OWNED}, {_GONE} SELECT pack FROM gone")
 def gc_candidates(t: Tables) -> DataFrame:
     return retention.collectable(t.pack, _owned(t), _tombstones(t))
 
 
+@over_all_owners
 @query(f"""{_OWNED}, {_GONE}
 SELECT (SELECT count(*) FROM gone) AS reclaimed_files, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM gone) AS reclaimed_bytes,
        (SELECT count(DISTINCT owner) FROM owned) AS owners, (SELECT count(DISTINCT pack) FROM owned) AS retained_packs,
@@ -290,6 +309,7 @@ def gc_summary(t: Tables) -> DataFrame:
     return retention.collection_summary(t.pack, _owned(t), _tombstones(t), t.pack.select("pack", "size"))
 
 
+@over_all_owners
 @query(f"""
 WITH {COMMIT}
 SELECT DISTINCT root, holder FROM (
@@ -303,6 +323,7 @@ def queue_roots(t: Tables) -> DataFrame:
     ])
 
 
+@over_all_owners
 @query("SELECT owner FROM owner WHERE owner LIKE 'queue:%' AND c_custkey % 8 <> 0")
 def prune_owners(t: Tables) -> DataFrame:
     return retention.dead_owners(t.owner, t.owner.where("c_custkey % 8 = 0").select("owner"), "queue:").select("owner")
@@ -315,11 +336,13 @@ def reactivation_allowed(t: Tables) -> DataFrame:
     return retention.reactivation(roots, t.edge, t.place, _owned(t), _tombstones(t))
 
 
+@over_all_owners
 @query(f"{_OWNED} SELECT split_part(owner, ':', 1) AS category, count(DISTINCT owner) AS owners, count(DISTINCT pack) AS packs, min(owner) AS first_owner FROM owned GROUP BY 1")
 def retention_summary(t: Tables) -> DataFrame:
     return retention.retention_summary(_owned(t))
 
 
+@over_all_owners
 @query(f"{_OWNED} SELECT pack, CASE WHEN sealed THEN 'sealed' ELSE 'partial' END AS kind FROM pack WHERE pack NOT IN (SELECT pack FROM owned)")
 def orphan_segments(t: Tables) -> DataFrame:
     return retention.orphans(t.pack, _owned(t))
