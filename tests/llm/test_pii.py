@@ -43,6 +43,16 @@ def test_kinds_formats_and_coreference(spark):
     assert re.fullmatch(r"my password=[a-z]{12} and secret: '[a-z]{10}' or token=[a-z]{8}", run(spark, WORDS_ONLY)[0].text) and "hunter" not in run(spark, WORDS_ONLY)[0].text
 
 
+def test_secrets_in_upper_case(spark):
+    texts = ['TOKEN = "9233A8EC41B07D5592F1C3E6A0B4D8F712345678" x', "PASSWORD=HUNTERHUNTER Api_Key: abcdEFGH", "hex 24BE64439E3E49CF46B2D7C90F3602A3 24be64439E3E49CF46B2D7C90F3602a3", "SECRET: abcdefghij"]
+    a, b, c, d = (run(spark, texts)[i] for i in range(4))
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{40}" x', a.text) and "9233A8EC" not in a.text
+    assert re.fullmatch(r"PASSWORD=[A-Z]{12} Api_Key: [a-z]{4}[A-Z]{4}", b.text) and "HUNTER" not in b.text and "abcdEFGH" not in b.text
+    assert re.fullmatch(r"hex [0-9A-F]{32} \d\d[a-f]{2}\d{5}[A-F]\d[A-F]\d\d[A-F]{2}\d\d[A-F]\d[A-F]\d[A-F]\d\d[A-F]\d{4}[a-f]\d", c.text) and "24BE" not in c.text
+    assert re.fullmatch(r"SECRET: [a-z]{10}", d.text) and d.text != texts[3]
+    assert [x.pii.n_entities for x in (a, b, c, d)] == [1, 2, 2, 1]
+
+
 @pytest.mark.parametrize("few", [5_000, 0])
 def test_collisions_are_solved_alike_everywhere(spark, monkeypatch, few):
     """Three-digit numbers as a kind: surrogates of 400 of 1000 are sure to meet."""

@@ -26,8 +26,8 @@ from .shared import fresh, written
 #: Kinds and their patterns, in order of precedence.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
-    "secret": r"(?<=\b(?:password|passwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/=-]{8,}+|\bAKIA[0-9A-Z]{16}\b|\b(?:ghp_|sk-)[A-Za-z0-9]{16,}+",
-    "hex": r"\b[0-9a-f]{32,64}\b",
+    "secret": r"(?<=\b(?i:password|passwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/=-]{8,}+|\bAKIA[0-9A-Z]{16}\b|\b(?:ghp_|sk-)[A-Za-z0-9]{16,}+",
+    "hex": r"\b[0-9A-Fa-f]{32,64}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "phone": r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}\b|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}\b|\b[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
@@ -86,10 +86,14 @@ def _made(x: Column) -> Column:
     pick = lambda n, of: F.substr(F.lit(of), F.pmod(n, F.lit(len(of))) + 1, F.lit(1))
     low, up, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     is_hex = canon.rlike("^[0-9a-f]+$")
+    is_upper_hex = canon.rlike("^[0-9A-F]+$") & kind.isin("hex", "secret")
+    is_mixed_hex = kind == "hex"
     chars = F.transform(
         F.filter(F.split(canon, ""), lambda c: c != ""),
         lambda c, i: F.when(is_hex & ~kind.isin(*_DIGITS), pick(number(i), "0123456789abcdef"))
+        .when(is_upper_hex, pick(number(i), "0123456789ABCDEF"))
         .when(c.rlike("[0-9]"), pick(number(i), digit))
+        .when(is_mixed_hex, F.when(c.rlike("[a-f]"), pick(number(i), "abcdef")).otherwise(pick(number(i), "ABCDEF")))
         .when(c.rlike("[a-z]"), pick(number(i), low))
         .when(c.rlike("[A-Z]"), pick(number(i), up))
         .otherwise(c),
@@ -123,7 +127,7 @@ def _formatted(kind: Column, entity: Column, surrogate: Column) -> Column:
 
 def _found(text: Column) -> Column:
     """The entities of a text, in order."""
-    return F.when(text.rlike("[0-9@]|pass|secret|token|api|ghp_|sk-|AKIA|Mr|Ms|Mi|Herr|Frau|Mon|Mad|Mme|Se|Sr|Г-"), F.regexp_extract_all(text, F.lit(_ALL), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike("[0-9@]|(?i:pass|secret|token|api)|ghp_|sk-|AKIA|Mr|Ms|Mi|Herr|Frau|Mon|Mad|Mme|Se|Sr|Г-"), F.regexp_extract_all(text, F.lit(_ALL), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def _described(entities: Column) -> Column:
