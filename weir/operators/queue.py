@@ -105,6 +105,11 @@ def missing_dependencies(required: DataFrame, edges: DataFrame, checkpoint) -> D
     return required.join(edges.where(F.col("parent") == checkpoint).select(F.col("child").alias("root")), "root", "left_anti")
 
 
+def missing_dependencies_of_each(required: DataFrame, edges: DataFrame) -> DataFrame:
+    """Of (checkpoint, root), what a checkpoint must depend on and does not, for all checkpoints at once."""
+    return required.join(edges.select(F.col("parent").alias("checkpoint"), F.col("child").alias("root")), ["checkpoint", "root"], "left_anti")
+
+
 def latest_continuation(progress: DataFrame) -> DataFrame:
     """The last continuation that each task saved."""
     return progress.groupBy("task_id").agg(F.max("generation").alias("generation"), F.max_by("input_ref", "generation").alias("input_ref"))

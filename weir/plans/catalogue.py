@@ -258,6 +258,15 @@ def checkpoint_missing_deps(t: Tables) -> DataFrame:
     return queue.missing_dependencies(t.documents.where("doc_id < 60").select(F.col("doc_id").alias("root")), t.edge, 100)
 
 
+@query("""
+WITH required AS (SELECT doc_id AS checkpoint, doc_id div 2 AS root FROM documents UNION SELECT doc_id, doc_id - 7 FROM documents WHERE doc_id >= 7)
+SELECT checkpoint, root FROM required ANTI JOIN edge ON parent = checkpoint AND child = root""")
+def checkpoint_missing_deps_all(t: Tables) -> DataFrame:
+    """Every document as a checkpoint, and every document but the last ones as a root that one requires."""
+    required = t.documents.selectExpr("doc_id AS checkpoint", "doc_id div 2 AS root").union(t.documents.where("doc_id >= 7").selectExpr("doc_id", "doc_id - 7")).distinct()
+    return queue.missing_dependencies_of_each(required, t.edge)
+
+
 @query("SELECT task_id, generation, input_ref FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY generation DESC) AS k FROM progress) AS x WHERE k = 1")
 def continuation_latest(t: Tables) -> DataFrame:
     return queue.latest_continuation(t.progress)
@@ -291,6 +300,14 @@ def closure_of_cycle(t: Tables) -> DataFrame:
     return retention.closure(t.documents.where("doc_id IN (3, 50, 97)").select(F.col("doc_id").alias("root")), edges)
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT doc_id AS parent, doc_id // 2 AS child FROM documents WHERE doc_id > 0 UNION SELECT 0, 97),
+r(root, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.root, e.child FROM r JOIN e ON e.parent = r.node) SELECT root, node FROM r""")
+def closure_of_cycle_all(t: Tables) -> DataFrame:
+    edges = t.documents.where("doc_id > 0").selectExpr("doc_id AS parent", "doc_id div 2 AS child").union(t.spark.sql("SELECT 0L, 97L"))
+    return retention.closure(t.documents.select(F.col("doc_id").alias("root")), edges)
+
+
 _GONE = "gone AS (SELECT pack, size FROM pack WHERE sealed AND NOT tombstoned AND pack NOT IN (SELECT pack FROM owned))"
 
 
@@ -336,6 +353,13 @@ def reactivation_allowed(t: Tables) -> DataFrame:
     return retention.reactivation(roots, t.edge, t.place, _owned(t), _tombstones(t))
 
 
+@query(f"""{_OWNED.replace("FROM owner", "FROM owner_all")}, a(root, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT a.root, e.child FROM a JOIN edge AS e ON e.parent = a.node)
+SELECT a.root, bool_and(p.pack IN (SELECT pack FROM owned) AND p.pack NOT IN (SELECT pack FROM pack WHERE tombstoned)) AS allowed FROM a JOIN place AS p ON p.node = a.node GROUP BY a.root""")
+def reactivation_allowed_all(t: Tables) -> DataFrame:
+    owned = retention.owned_packs(t.owner_all.select("owner", "root"), t.edge, t.place)
+    return retention.reactivation(t.documents.select(F.col("doc_id").alias("root")), t.edge, t.place, owned, _tombstones(t))
+
+
 @over_all_owners
 @query(f"{_OWNED} SELECT split_part(owner, ':', 1) AS category, count(DISTINCT owner) AS owners, count(DISTINCT pack) AS packs, min(owner) AS first_owner FROM owned GROUP BY 1")
 def retention_summary(t: Tables) -> DataFrame:
