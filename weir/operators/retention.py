@@ -60,7 +60,7 @@ def reactivation(roots: DataFrame, edges: DataFrame, places: DataFrame, owned: D
 
 
 def retention_summary(owned: DataFrame) -> DataFrame:
-    """Owners and distinct packs of each kind of owner, with at most four examples."""
+    """Owners and distinct packs of each kind of owner, and its least owner; no examples with packs or open writers."""
     kind = F.split("owner", ":")[0]
     return owned.groupBy(kind.alias("category")).agg(
         F.count_distinct("owner").alias("owners"), F.count_distinct("pack").alias("packs"),
