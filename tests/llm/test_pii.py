@@ -53,6 +53,14 @@ def test_secrets_in_upper_case(spark):
     assert [x.pii.n_entities for x in (a, b, c, d)] == [1, 2, 2, 1]
 
 
+def test_coreference_of_ibans_and_persons(spark):
+    got = run(spark, ["DE89 3704 0044 0532 0130 00, DE89370400440532013000!", "Mr. John Smith, Mr John Smith"])
+    spaced, plain = re.fullmatch(r"(DE\d\d(?: \d{4}){4} \d\d), (DE\d{20})!", got[0].text).groups()
+    assert spaced.replace(" ", "") == plain != "DE89370400440532013000"
+    dot, none = re.fullmatch(r"Mr\. (\w+ \w+), Mr (\w+ \w+)", got[1].text).groups()
+    assert dot == none != "John Smith"
+
+
 @pytest.mark.parametrize("few", [5_000, 0])
 def test_collisions_are_solved_alike_everywhere(spark, monkeypatch, few):
     """Three-digit numbers as a kind: surrogates of 400 of 1000 are sure to meet."""

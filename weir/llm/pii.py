@@ -1,7 +1,7 @@
 """Surrogates for personal data and secrets, by built-in functions only.
 
 Entities are found by one pattern, each in its kind. An entity's surrogate is made from a keyed hash of its
-kind and canonical form (digits of a number, lower case of an address), so the same entity has the same
+kind and canonical form (digits of a number, lower case of an address, an iban without spaces, a title without dot), so the same entity has the same
 surrogate everywhere, and other ways to write a number keep their format. Digits become digits, letters
 letters of their case, hexadecimal stays hexadecimal, addresses are addresses of a reserved domain, and a
 person behind a title gets a name of the title's gender in the script of the old one.
@@ -69,7 +69,8 @@ def _kind(entity: Column) -> Column:
 
 
 def _canonical(kind: Column, entity: Column) -> Column:
-    return F.when(kind.isin(*_DIGITS), F.regexp_replace(entity, "[^0-9]", "")).when(kind == "email", F.lower(entity)).otherwise(entity)
+    plain = F.when(kind.isin(*_DIGITS), F.regexp_replace(entity, "[^0-9]", "")).when(kind == "email", F.lower(entity))
+    return plain.when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).when(kind == "person", F.regexp_replace(entity, r"^([^ .]+)\. ", "$1 ")).otherwise(entity)
 
 
 def _surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
@@ -117,12 +118,17 @@ def _made(x: Column) -> Column:
 
 
 def _formatted(kind: Column, entity: Column, surrogate: Column) -> Column:
-    """A number's digits in the places of the old ones; anything else as it is."""
+    """A number's digits in the places of the old ones, an iban's spaces and a title's dot as written; anything else as it is."""
     digits = F.transform(
         F.filter(F.split(entity, ""), lambda c: c != ""),
         lambda c, i: F.when(c.rlike("[0-9]"), F.substr(surrogate, F.length(F.regexp_replace(F.substr(entity, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))).otherwise(c),
     )
-    return F.when(kind.isin(*_DIGITS), F.array_join(digits, "")).otherwise(surrogate)
+    spaced = F.transform(
+        F.filter(F.split(entity, ""), lambda c: c != ""),
+        lambda c, i: F.when(c != " ", F.substr(surrogate, F.length(F.replace(F.substr(entity, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1))).otherwise(c),
+    )
+    titled = F.when(entity.rlike(r"^[^ .]+\. "), F.regexp_replace(surrogate, "^([^ ]+) ", "$1. ")).otherwise(surrogate)
+    return F.when(kind.isin(*_DIGITS), F.array_join(digits, "")).when(kind == "iban", F.array_join(spaced, "")).when(kind == "person", titled).otherwise(surrogate)
 
 
 def _found(text: Column) -> Column:
