@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from weir.errors import IdempotencyConflict, LeaseExpired, StaleAttempt, WriterFenced
 from weir.functions.canon import positions
@@ -101,9 +102,20 @@ def test_replay_over_all_tasks_equals_the_sequential_fold(spark, tmp_path, seed)
     assert commits == {x["task_id"]: x["position"] for x in c.state.commits}
 
 
-def test_positions_number_a_total_order(spark):
-    df = spark.range(0, 5000).selectExpr("id * 7919 % 5000 AS x").repartition(9)
-    assert [r.p for r in positions(df, ["x"], "p").orderBy("x").collect()] == list(range(5000))
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_positions_number_a_total_order(spark, tmp_path, adaptive):
+    """Many files and columns beside the order: no row may be lost, however the ranges are sampled and merged."""
+    n = 500_000
+    spark.range(n).selectExpr("id * 7919 % 500000 AS x", "id * 3 AS y", "concat('r', id) AS z").repartition(13).write.parquet(f"{tmp_path}/t")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        got = positions(spark.read.parquet(f"{tmp_path}/t"), ["x"], "p")
+        assert got.columns == ["x", "y", "z", "p"]
+        assert got.agg(F.count("*"), F.count_distinct("p"), F.count_if(F.col("p") != F.col("x"))).first()[:] == (n, n, 0)
+        assert got.where("y <> 3 * cast(substr(z, 2) AS bigint) OR x <> y div 3 * 7919 % 500000").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
 
 
 def test_accounting_and_first_writer(spark):

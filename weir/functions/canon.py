@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weir.sources.kept import kept
+
 U64_MAX = 2**64 - 1
 
 
@@ -77,14 +79,24 @@ def first_occurrences(df: DataFrame, key: list[str], order: list[str]) -> DataFr
     return df.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
+#: A row's number within its partition is in the lower bits of what monotonically_increasing_id gives.
+_ROW_BITS = 33
+
+
 def positions(df: DataFrame, order: list[str], into: str) -> DataFrame:
     """df with the number, from 0, of each row in a total order.
 
-    Rows are dealt by ranges of the order and numbered within; each range then adds the rows of those
-    before it, of which only the counts are gathered.
+    Rows are dealt by ranges of the order, sorted and written once with their partition and row: counts and
+    numbers are both read from what was written, so they agree however Spark plans either. Only one count for
+    each partition is added up in one place.
     """
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    inside = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each range
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return inside.join(F.broadcast(before), "_part").withColumn(into, (F.col("_before") + F.col("_at")).cast("bigint")).drop("_part", "_at", "_before")
+    at = "_at"
+    while at.lower() in {c.lower() for c in df.columns}:
+        at += "_"
+    dealt = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    part = F.shiftright(at, _ROW_BITS).alias("_part")
+    counts = dealt.groupBy(part).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("_part", before.alias("_before")))  # one row for each partition
+    numbered = dealt.join(starts, F.shiftright(at, _ROW_BITS) == F.col("_part"))
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col(at).bitwiseAND((1 << _ROW_BITS) - 1)).alias(into))

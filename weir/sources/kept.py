@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df as a table below spark.checkpoint.dir: computed once, and readable whichever executor is lost.
-
-    Only where that setting is empty, as in tests, a local folder is set in its place.
-    """
-    spark = df.sparkSession
+def shared_top(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset a local folder takes its place until the process ends, but only if
+    the executors are in this process too: on a cluster it must be set."""
     top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        sc = spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="weir-"))
-        top = sc.getCheckpointDir()
-    path = f"{top.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    if top:
+        return top.rstrip("/")
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="weir-")
+        atexit.register(shutil.rmtree, own, True)
+        sc.setCheckpointDir(own)
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: computed once, and readable whichever executor is lost."""
+    path = f"{shared_top(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
