@@ -24,6 +24,18 @@ def texts():
     return ODD + ["".join(rng.choices(letters, k=rng.randrange(1, 80))) for _ in range(1500)]
 
 
+def test_every_character_is_encoded_as_the_library_does():
+    """Each code point alone, behind a letter and before one: Python's tables of letters need not be the library's."""
+    lib = Tokenizer.from_file(PATH)
+    own = p.PieceTokenizer(PATH)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or 0xA000 <= c < 0xAC00 or 0xF900 <= c < 0x12500 or c % 97 == 0)]
+    for k in range(0, len(points), 40):
+        text = " ".join(f"{chr(c)} a{chr(c)} {chr(c)}b.{chr(c)}" for c in points[k : k + 40])
+        assert np.frombuffer(own.encode(text), own.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids, points[k]
+    for x in ("a \u0558", "\u0558", "a\u0558 \u088f\u0c5c", "\u1c89", "x" + "\u0558" * 3000 + " y"):
+        assert np.frombuffer(own.encode(x), own.dtype).tolist() == lib.encode(x, add_special_tokens=False).ids
+
+
 def test_pieces_equal_the_library(monkeypatch):
     lib = Tokenizer.from_file(PATH)
     for size in (5, 300_000):

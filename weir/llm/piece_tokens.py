@@ -6,6 +6,11 @@ before each space that stands alone between two other characters; a piece that i
 line ends and behind a first run of letters; and the ids of the parts, one after the other, are those of
 the text. A run of letters is one pre-token and goes to the library's model at once; all else goes through
 the whole tokenizer.
+
+What is a letter is asked of the library itself, once for each character of KNOWN. A piece with any other
+character is not cut: it goes through the whole tokenizer, whose tables of characters may be those of
+another Unicode version than Python's. Pieces of more than LONGEST characters are not held, so a table's
+size is bounded whatever the texts are.
 """
 
 from __future__ import annotations
@@ -14,29 +19,23 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Callable
 
 import numpy as np
-import regex
 
 from .held import Held
+from .shared import byte_letters
 
 #: Entries of the young half of a table of pieces.
-TABLE = 300_000
+TABLE = 600_000
+
+#: Characters that pieces may be cut at: Latin, Greek, Cyrillic and their marks; general punctuation.
+KNOWN = [*range(0x600), *range(0x2000, 0x2070)]
+LONGEST = 64
 
 _RUN = re.compile(r"\s\s").search
 _CUT = re.compile(r"(?<=\S) (?=\S)").split
-_LETTERS = regex.compile(r"\p{L}+").match
-_LINE = regex.compile(r"(?<=\S\n)(?=\p{L})").split
-
-
-def _byte_letters() -> dict[int, str]:
-    """The printable character that stands for a byte in byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
-_SHOWN = _byte_letters()
+_SHOWN = byte_letters()
 
 
 class PieceTokenizer:
@@ -49,8 +48,15 @@ class PieceTokenizer:
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.code = "H" if self.size <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
-        self.pieces = Held(self._piece, TABLE)
-        self.others = Held(lambda x: self._packed(self.library.encode(x, add_special_tokens=False).ids), TABLE // 10)
+        parts = self.library.pre_tokenizer.pre_tokenize_str
+        letters = "".join([chr(c) for c in KNOWN if chr(c).isalpha() and len(parts(f"a{chr(c)}a")) == 1])
+        own = f"[{re.escape(letters)}]"
+        self.known = re.compile(f"[{re.escape(''.join(map(chr, KNOWN)))}]*").fullmatch
+        self.letters = re.compile(f"{own}*").match
+        self.only_letters = re.compile(f"{own}+").fullmatch
+        self.lines = re.compile(rf"(?<=\S\n)(?={own})").split
+        self.pieces = Held(self._pieces(), TABLE, LONGEST)
+        self.others = Held(lambda x: self._packed(self.library.encode(x, add_special_tokens=False).ids), TABLE // 10, LONGEST)
 
     def _packed(self, ids: list[int]) -> bytes:
         out = array(self.code, ids)
@@ -63,25 +69,30 @@ class PieceTokenizer:
         shown = (before and "Ġ") + (run if run.isascii() else run.encode().decode("latin-1").translate(_SHOWN))
         return self._packed([t.id for t in self.tokens_of(shown)])
 
-    def _piece(self, piece: str) -> bytes:
-        """A piece behind a space."""
-        if piece.isalpha():
-            return self._run(" ", piece)
-        if piece[:-1].isalpha():
-            return self.pieces[piece[:-1]] + self.others[piece[-1]]
-        return self._parts(" ", piece)
+    def _pieces(self) -> Callable[[str], bytes]:
+        """What gives the ids of a piece behind a space. Most new pieces are plain letters: those take the least steps."""
+        tokens_of, code, swap = self.tokens_of, self.code, sys.byteorder == "big"
+
+        def piece(x: str) -> bytes:
+            if x.isascii() and x.isalpha() and not swap:
+                return array(code, [t.id for t in tokens_of("Ġ" + x)]).tobytes()
+            return self._run(" ", x) if self.only_letters(x) else self._parts(" ", x)
+
+        return piece
 
     def _parts(self, before: str, piece: str) -> bytes:
-        m = _LETTERS(piece)
-        if m is None:
+        if not self.known(piece):
+            return self.others[before + piece]
+        run = self.letters(piece).group()
+        if not run:
             return self.others[before + piece] if before or piece else b""
-        run, rest = m.group(), piece[m.end() :]
         head = self.pieces[run] if before else self._run("", run)
+        rest = piece[len(run) :]
         if not rest:
             return head
         if "\n" not in rest:
             return head + self.others[rest]
-        first, *lines = _LINE(rest)
+        first, *lines = self.lines(rest)
         return head + self.others[first] + b"".join([self._parts("", x) for x in lines])
 
     def encode(self, text: str) -> bytes:

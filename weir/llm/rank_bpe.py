@@ -7,14 +7,14 @@ distinct piece is merged once while it stays in a table of bounded size, so the
 a look-up. No id is ever made: only counts.
 
 Defined cases: a null or empty text has no tokens; strings of special tokens inside a text count as one
-token each, as the tokenizer's default is; repeated rows are counted alike; other columns are returned as
+token each, as the tokenizer's default is; a very long text is merged in batches of bounded size, and a piece
+of more than LONGEST characters is not held; repeated rows are counted alike; other columns are returned as
 they are, except one called like the result; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import fresh
+from .piece_tokens import KNOWN, LONGEST
+from .shared import byte_letters, fresh
 
 #: Pieces whose counts a worker holds; beyond it the table is begun anew.
 TABLE = 700_000
@@ -33,27 +34,28 @@ BATCH = 1 << 20
 NONE = np.int32(np.iinfo(np.int32).max)
 
 
-def _byte_letters() -> dict[int, str]:
-    """The printable character that stands for a byte in byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
 class RankCounter:
     """Counts tokens as the byte-pair tokenizer in a tokenizers file of this kind does: NFC, lower case, word ends."""
 
     def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        library = Tokenizer.from_file(path)
+        self.normal, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         model = spec["model"]
         end = model["end_of_word_suffix"]
         ids = model["vocab"]
+        if max(ids.values()) >= 1 << 16:
+            raise ValueError("a pair's key holds ids of 16 bits")
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left = np.array([ids[a] for a, _ in pairs], np.uint32)
         right = np.array([ids[b] for _, b in pairs], np.uint32)
         self._fill(left << np.uint32(16) | right, np.array([ids[a + b] for a, b in pairs], np.int32))
-        letters = _byte_letters()
+        letters = byte_letters()
+        self.byte_of = {c: b for b, c in letters.items()}
+        self.known = regex.compile(f"[{regex.escape(''.join(map(chr, KNOWN)))}]*").fullmatch
         self.inner = np.array([ids[letters[b]] for b in range(256)], np.uint32)
         self.last = np.array([ids[letters[b] + end] for b in range(256)], np.uint32)
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
@@ -125,10 +127,20 @@ class RankCounter:
             symbols, row = symbols[keep], row[keep]
         return counts
 
+    def _words(self, part: str) -> list[bytes]:
+        """The pre-tokens of a part of a text. Beyond ASCII the library normalises, and cuts what holds characters
+        that Python's tables may class otherwise."""
+        if part.isascii():
+            return [w.encode() for w in self.find(part.lower())]
+        part = self.normal(part)
+        if self.known(part):
+            return [w.encode() for w in self.find(part)]
+        return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in self.cut(part)]
+
     def _learn(self, pieces: list[str]) -> dict[str, int]:
         """Counts of pieces that the table does not have."""
         base = np.zeros(len(pieces), np.int64)
-        numbers: dict[str, int] = {}
+        numbers: dict[bytes, int] = {}
         owner: list[int] = []
         word: list[int] = []
         for k, piece in enumerate(pieces):
@@ -137,13 +149,11 @@ class RankCounter:
                 parts = self.special.split(piece)
                 base[k] = len(parts) - 1
             for p in parts:
-                if not p.isascii():
-                    p = unicodedata.normalize("NFC", p).replace("Σ", "σ")
-                for w in self.find(p.lower()):
+                for w in self._words(p):
                     owner.append(k)
                     word.append(numbers.setdefault(w, len(numbers)))
         if owner:
-            own = [w.encode() for w in numbers]
+            own = list(numbers)
             counts = np.zeros(len(own), np.int64)
             at = 0
             while at < len(own):
@@ -168,7 +178,11 @@ class RankCounter:
                 table.update(self._learn(list({p for own in pieces for p in own} - got.keys())))
             table.update(got)
         of = table.__getitem__
-        return [sum(map(of, own)) for own in pieces]
+        out = [sum(map(of, own)) for own in pieces]
+        for p in new:
+            if len(p) > LONGEST:
+                table.pop(p, None)
+        return out
 
 
 _COUNTERS: dict[str, RankCounter] = {}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weir.sources.kept import shared_top
+
 #: Between words: white space of ASCII.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -17,15 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset, a local one is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_before.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weir-"))
-            set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        top = set_before.get()
-    return f"{top.rstrip('/')}/weir-{uuid.uuid4().hex}"
+    """A new folder below the one that driver and executors share."""
+    return f"{shared_top(spark)}/weir-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, codec: str = "zstd", schema: str | None = None) -> DataFrame:
@@ -46,6 +40,13 @@ def crc32_of(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for a byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     have = {c.lower() for c in df.columns}

@@ -94,8 +94,10 @@ def id_counts(ids: DataFrame, width: int, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for b in batches:
-            for x in b.column(0):
-                counts += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=size)
+            column = b.column(0).cast(pa.large_binary())
+            ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            if len(column) and ends[-1] > ends[0]:  # the batch's ids lie end to end
+                counts += np.bincount(np.frombuffer(column.buffers()[2], kind, (ends[-1] - ends[0]) // width, ends[0]), minlength=size)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=["s", "c"])
 
