@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -31,6 +32,7 @@ def test_every_character_is_encoded_as_the_library_does():
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or 0xA000 <= c < 0xAC00 or 0xF900 <= c < 0x12500 or c % 97 == 0)]
     for k in range(0, len(points), 40):
         text = " ".join(f"{chr(c)} a{chr(c)} {chr(c)}b.{chr(c)}" for c in points[k : k + 40])
+        assert own.encode_all(pa.array([text]))[1].tolist() == lib.encode(text, add_special_tokens=False).ids, points[k]
         assert np.frombuffer(own.encode(text), own.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids, points[k]
     for x in ("a \u0558", "\u0558", "a\u0558 \u088f\u0c5c", "\u1c89", "x" + "\u0558" * 3000 + " y"):
         assert np.frombuffer(own.encode(x), own.dtype).tolist() == lib.encode(x, add_special_tokens=False).ids
@@ -41,8 +43,15 @@ def test_pieces_equal_the_library(monkeypatch):
     for size in (5, 300_000):
         monkeypatch.setattr(p, "TABLE", size * 10)
         own = p.PieceTokenizer(PATH)
-        for x in texts():
-            assert np.frombuffer(own.encode(x or ""), own.dtype).tolist() == lib.encode(x or "", add_special_tokens=False).ids, repr(x)
+        all_ = [x or "" for x in texts()]
+        for x in all_:
+            assert np.frombuffer(own.encode(x), own.dtype).tolist() == lib.encode(x, add_special_tokens=False).ids, repr(x)
+        for k in range(0, len(all_), 90):
+            some = all_[k : k + 90]
+            n, ids = own.encode_all(pa.array(["cut off", *some])[1:], 2)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [lib.encode(x, add_special_tokens=False).ids + [2] for x in some]
+            assert len(own.held) <= size * 10 and len(own.held) == len(own.sizes) and own.sizes.sum() == len(own.ids)
+        assert own.encode_all(pa.array([], pa.string()), 2)[1].tolist() == []
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 1023, 1024, 1025, 5000, r.BLOCK])

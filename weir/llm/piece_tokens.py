@@ -1,20 +1,19 @@
 """Token ids of whole texts by the tokenizers library, each distinct piece of text encoded once while held.
 
-A byte-level pre-tokenizer never joins what is left of a single space to what follows it, nor a run of
-letters to what is not a letter after it, nor a single line end to letters after it. So a text is cut
-before each space that stands alone between two other characters; a piece that is new is cut once more at
-line ends and behind a first run of letters; and the ids of the parts, one after the other, are those of
-the text. A run of letters is one pre-token and goes to the library's model at once; all else goes through
-the whole tokenizer.
-
-What is a letter is asked of the library itself, once for each character of KNOWN. A piece with any other
-character is not cut: it goes through the whole tokenizer, whose tables of characters may be those of
-another Unicode version than Python's. Pieces of more than LONGEST characters are not held, so a table's
-size is bounded whatever the texts are.
+A byte-level pre-tokenizer never joins what stands before a space to what follows it, unless that is white
+space too. So a text is cut before each other space, and the ids of the pieces, one after the other, are those
+of the text. A piece that is new is cut into pre-tokens, each of which goes to the library's
+model once while held.
+
+Which characters are letters or numbers is asked of the library itself, once for each character of KNOWN. A
+piece with any other character, or with a special token in it, goes through the library's whole tokenizer:
+its tables of characters may be those of another Unicode version than Python's. Pieces of more than LONGEST
+characters are not held, so a table's size is bounded whatever the texts are.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -22,21 +21,28 @@ from array import array
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .held import Held
 from .shared import byte_letters
 
-#: Entries of the young half of a table of pieces.
-TABLE = 600_000
+#: Pieces that are held.
+TABLE = 1_000_000
 
 #: Characters that pieces may be cut at: Latin, Greek, Cyrillic and their marks; general punctuation.
 KNOWN = [*range(0x600), *range(0x2000, 0x2070)]
 LONGEST = 64
 
-_RUN = re.compile(r"\s\s").search
-_CUT = re.compile(r"(?<=\S) (?=\S)").split
+_CUT = re.compile(r" (?=\S)").split
+#: White space, or what Python takes for it, behind a space; or a space at the end.
+_ODD = r" [\x00-\x20\x7f-\x{a0}\x{1680}\x{2000}-\x{206f}\x{3000}]| $"
 _SHOWN = byte_letters()
 
+#: White space as Unicode has it, and the pre-tokenizer that is followed here.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+
 
 class PieceTokenizer:
     def __init__(self, path: str) -> None:
@@ -48,15 +54,22 @@ class PieceTokenizer:
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.code = "H" if self.size <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
+        if json.loads(self.library.pre_tokenizer.__getstate__()) != PRE_TOKENIZER or self.library.normalizer is not None:
+            raise ValueError("not a byte-level tokenizer of this kind")
         parts = self.library.pre_tokenizer.pre_tokenize_str
-        letters = "".join([chr(c) for c in KNOWN if chr(c).isalpha() and len(parts(f"a{chr(c)}a")) == 1])
-        own = f"[{re.escape(letters)}]"
+        letters = [c for c in map(chr, KNOWN) if len(parts(f"a{c}a")) == 1]
+        numbers = [c for c in map(chr, KNOWN) if len(parts(f"1{c}1")) == 1]
+        letter, number = re.escape("".join(letters)), re.escape("".join(numbers))
         self.known = re.compile(f"[{re.escape(''.join(map(chr, KNOWN)))}]*").fullmatch
-        self.letters = re.compile(f"{own}*").match
-        self.only_letters = re.compile(f"{own}+").fullmatch
-        self.lines = re.compile(rf"(?<=\S\n)(?={own})").split
-        self.pieces = Held(self._pieces(), TABLE, LONGEST)
-        self.others = Held(lambda x: self._packed(self.library.encode(x, add_special_tokens=False).ids), TABLE // 10, LONGEST)
+        self.find = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{_SPACE}{letter}{number}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)").search
+        self.new = self._pieces()
+        self.pieces = Held(self.new, TABLE // 16, LONGEST)
+        self.parts = Held(self._part, TABLE // 4, LONGEST)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.held, self.sizes, self.ids = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, self.dtype)
 
     def _packed(self, ids: list[int]) -> bytes:
         out = array(self.code, ids)
@@ -64,11 +77,14 @@ class PieceTokenizer:
             out.byteswap()
         return out.tobytes()
 
-    def _run(self, before: str, run: str) -> bytes:
-        """A run of letters behind `before`, a space or nothing."""
-        shown = (before and "Ġ") + (run if run.isascii() else run.encode().decode("latin-1").translate(_SHOWN))
+    def _part(self, part: str) -> bytes:
+        """A pre-token, a space before it included."""
+        shown = part.replace(" ", "Ġ") if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_SHOWN)
         return self._packed([t.id for t in self.tokens_of(shown)])
 
+    def _whole(self, text: str) -> bytes:
+        return self._packed(self.library.encode(text, add_special_tokens=False).ids)
+
     def _pieces(self) -> Callable[[str], bytes]:
         """What gives the ids of a piece behind a space. Most new pieces are plain letters: those take the least steps."""
         tokens_of, code, swap = self.tokens_of, self.code, sys.byteorder == "big"
@@ -76,26 +92,72 @@ class PieceTokenizer:
         def piece(x: str) -> bytes:
             if x.isascii() and x.isalpha() and not swap:
                 return array(code, [t.id for t in tokens_of("Ġ" + x)]).tobytes()
-            return self._run(" ", x) if self.only_letters(x) else self._parts(" ", x)
+            x = " " + x
+            if not self.known(x) or self.special(x):
+                return self._whole(x)
+            first, *rest = self.find(x)
+            if not rest:
+                return self._part(first)
+            head = self.pieces[first[1:]] if first[0] == " " and first != " " else self.parts[first]
+            return head + b"".join(map(self.parts.__getitem__, rest))
 
         return piece
 
-    def _parts(self, before: str, piece: str) -> bytes:
-        if not self.known(piece):
-            return self.others[before + piece]
-        run = self.letters(piece).group()
-        if not run:
-            return self.others[before + piece] if before or piece else b""
-        head = self.pieces[run] if before else self._run("", run)
-        rest = piece[len(run) :]
-        if not rest:
-            return head
-        if "\n" not in rest:
-            return head + self.others[rest]
-        first, *lines = self.lines(rest)
-        return head + self.others[first] + b"".join([self._parts("", x) for x in lines])
+    def _first(self, piece: str) -> bytes:
+        """A piece at the beginning of a text."""
+        if not self.known(piece) or self.special(piece):
+            return self._whole(piece)
+        return b"".join(map(self.parts.__getitem__, self.find(piece)))
 
     def encode(self, text: str) -> bytes:
         """Little-endian ids of a text."""
-        first, *rest = _CUT(text) if _RUN(text) else text.split(" ")
-        return self._parts("", first) + b"".join(map(self.pieces.__getitem__, rest))
+        first, *rest = _CUT(text)
+        return self._first(first) + b"".join(map(self.pieces.__getitem__, rest))
+
+    def encode_all(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, and the ids of all of them end to end; no text is null.
+
+        Pieces are numbered by one dictionary of those held and those of these texts, so a piece costs a look-up
+        in Arrow and only a new one is ever a Python string. Texts with white space behind a space, or with a
+        space at their end, are cut one by one.
+        """
+        if not len(texts):
+            return np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        odd = pc.match_substring_regex(texts, _ODD)
+        single = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        cut = pc.split_pattern(pc.if_else(odd, "", texts) if len(single) else texts, " ")
+        starts = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+        pieces = cut.flatten()
+        firsts = [self._first(x) for x in pieces.take(pa.array(starts)).to_pylist()]
+        for k in single.tolist():
+            firsts[k] = self.encode(texts[k].as_py())
+        numbered = pa.concat_arrays([self.held, pieces]).dictionary_encode()
+        codes = numbered.indices.to_numpy()[len(self.held) :].copy()
+        made = [self.new(x) for x in numbered.dictionary[len(self.held) :].to_pylist()]
+        tail = [*made, *firsts, b"" if end is None else np.array([end], self.dtype).tobytes()]
+        width = self.dtype.itemsize
+        sizes = np.r_[self.sizes, np.fromiter(map(len, tail), np.int64, len(tail)) // width]
+        ids = np.concatenate([self.ids, np.frombuffer(b"".join(tail), self.dtype)])
+        own = len(sizes) - len(tail) + len(made)  # where the texts' first pieces begin
+        codes[starts] = own + np.arange(len(texts))
+        ends = np.r_[starts[1:], len(codes)]
+        codes = np.insert(codes, ends, own + len(texts))
+        n = sizes[codes]
+        places = np.cumsum(sizes) - sizes
+        out = ids[np.repeat(places[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        per_text = np.add.reduceat(n, starts + np.arange(len(texts)))
+        self._hold(numbered.dictionary, sizes[:own], ids[: int(sizes[:own].sum())], codes)
+        return per_text, out
+
+    def _hold(self, pieces: pa.Array, sizes: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> None:
+        """Keeps all pieces, or when they are too many those that were just used."""
+        keep = pc.less_equal(pc.utf8_length(pieces), LONGEST).to_numpy(zero_copy_only=False)
+        if len(pieces) > TABLE:
+            used = np.zeros(len(pieces) + 1, bool)
+            used[np.minimum(codes, len(pieces))] = True
+            keep &= used[:-1]
+        if keep.sum() > TABLE:
+            return self._forget()
+        if not keep.all():
+            pieces, ids, sizes = pieces.filter(pa.array(keep)), ids[np.repeat(keep, sizes)], sizes[keep]
+        self.held, self.sizes, self.ids = pieces, sizes, ids

@@ -12,7 +12,8 @@ file. Frequencies are counted over all documents.
 
 Defined cases: a null or empty text has the end id only; documents of one id, and those of a null id, which
 come first, are ordered by a hash of their ids; repeated rows are written as often as they occur; an empty
-table gives a folder without files; other columns are not read.
+table gives a folder without files; other columns, whatever they are called, are not read. A very long text
+is one row, whose ids must fit a task; its blocks are coded one after the other.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,9 @@ from .shared import shared_dir, written
 MAGIC = b"WEIRTOK1"
 #: Ids that a file is meant to hold.
 FILE_IDS = 8_000_000
+#: Bytes of texts that are encoded at once, unless one alone is longer.
+SLICE = 1 << 24
+_IDS = ["id", "n", "ids", "counts"]
 _CHECKPOINT = np.dtype([("offset", "<u8"), ("size", "<u8"), ("n", "<u8"), ("before", "<u8"), ("crc", "<u4")])
 _DOCUMENT = np.dtype([("known", "u1"), ("id", "<i8"), ("n", "<u8")])
 _TAIL = struct.Struct("<QQ8s")
@@ -64,45 +69,45 @@ def _load(uri: str) -> bytes:
 
 
 def token_ids(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", end: int | None = None) -> DataFrame:
-    """(id, n, ids) for each row: ids in little-endian binary of the width that the vocabulary needs."""
+    """(id, n, ids, counts) for each row: ids in little-endian binary of the width that the vocabulary needs.
+
+    Each task adds one more row, of which only counts is not null: how often it met each id, in 64 bits each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, PieceTokenizer(path))
-        last = b"" if end is None else np.array([end], t.dtype).tobytes()
+        counts = np.zeros(max(t.size, (end or 0) + 1), np.int64)
         for b in batches:
-            rows, size = [], 0
-            done = 0
-            for x in b.column(1):
-                rows.append(t.encode(x.as_py() or "") + last)
-                size += len(rows[-1])
-                if size > 1 << 25:
-                    yield out(b.column(0).slice(done, len(rows)), rows, t)
-                    done, rows, size = done + len(rows), [], 0
-            yield out(b.column(0).slice(done), rows, t)
-
-    def out(ids: pa.Array, rows: list[bytes], t: PieceTokenizer) -> pa.RecordBatch:
-        n = pa.array([len(r) // t.dtype.itemsize for r in rows], pa.int64())
-        return pa.RecordBatch.from_arrays([ids, n, pa.array(rows, pa.binary())], names=["id", "n", "ids"])
-
-    return docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "id bigint, n bigint, ids binary")
-
-
-def id_counts(ids: DataFrame, width: int, size: int) -> np.ndarray:
+            texts = pc.fill_null(b.column(1), "")
+            bytes_ = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+            at = 0
+            while at < len(texts):
+                to = max(at + 1, int(np.searchsorted(bytes_, (bytes_[at - 1] if at else 0) + SLICE, "right")))
+                n, ids = t.encode_all(texts.slice(at, to - at), end)
+                counts += np.bincount(ids, minlength=len(counts))
+                ends = np.r_[0, np.cumsum(n)] * t.dtype.itemsize
+                rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(n, pa.int64()), rows.cast(pa.binary()), pa.nulls(len(n), pa.binary())], names=_IDS)
+                at = to
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=_IDS)
+
+    return docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "id bigint, n bigint, ids binary, counts binary")
+
+
+def id_counts(ids: DataFrame, size: int) -> np.ndarray:
     """How often each id occurs; at most `size` rows come to the driver."""
-    kind = f"<u{width}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for b in batches:
-            column = b.column(0).cast(pa.large_binary())
-            ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-            if len(column) and ends[-1] > ends[0]:  # the batch's ids lie end to end
-                counts += np.bincount(np.frombuffer(column.buffers()[2], kind, (ends[-1] - ends[0]) // width, ends[0]), minlength=size)
+            for x in b.column(0):
+                counts += np.frombuffer(x.as_buffer(), "<i8")
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=["s", "c"])
 
     out = np.zeros(size, np.int64)
-    for r in ids.select("ids").mapInArrow(run, "s bigint, c bigint").groupBy("s").agg(F.sum("c").alias("c")).collect():
+    for r in ids.select("counts").where("counts IS NOT NULL").mapInArrow(run, "s bigint, c bigint").groupBy("s").agg(F.sum("c").alias("c")).collect():
         out[r.s] = r.c
     return out
 
@@ -156,7 +161,7 @@ def write(docs: DataFrame, folder: str, path: str, id: str = "doc_id", text: str
     width, size = tokenizer.dtype.itemsize, max(tokenizer.size, (end or 0) + 1)
     del tokenizer
     stored = written(token_ids(docs, path, id, text, end))
-    counts = id_counts(stored, width, size)
+    counts = id_counts(stored, size)
     fs, top = _place(folder)
     fs.create_dir(top, recursive=True)
     if not counts.sum():
@@ -167,7 +172,7 @@ def write(docs: DataFrame, folder: str, path: str, id: str = "doc_id", text: str
     shared = sc.broadcast(table.to_bytes())  # four bytes for each id of the vocabulary
     n_files = max(1, min(-(-int(counts.sum()) // FILE_IDS), 1 << 20))
     n_files = max(n_files, min(sc.defaultParallelism, int(counts.sum()) // 1_000_000))
-    ordered = stored.withColumn("tie", F.xxhash64("ids")).repartitionByRange(n_files, "id", "tie").sortWithinPartitions("id", "tie")
+    ordered = stored.where("counts IS NULL").drop("counts").withColumn("tie", F.xxhash64("ids")).repartitionByRange(n_files, "id", "tie").sortWithinPartitions("id", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
