@@ -143,8 +143,11 @@ class PieceTokenizer:
         ends = np.r_[starts[1:], len(codes)]
         codes = np.insert(codes, ends, own + len(texts))
         n = sizes[codes]
-        places = np.cumsum(sizes) - sizes
-        out = ids[np.repeat(places[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        total = int(n.sum())
+        small = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
+        at = np.repeat(((np.cumsum(sizes) - sizes)[codes] - (np.cumsum(n) - n)).astype(small), n)
+        at += np.arange(total, dtype=small)
+        out = ids.take(at)
         per_text = np.add.reduceat(n, starts + np.arange(len(texts)))
         self._hold(numbered.dictionary, sizes[:own], ids[: int(sizes[:own].sum())], codes)
         return per_text, out
