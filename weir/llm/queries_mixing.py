@@ -27,8 +27,8 @@ def path() -> dict[str, Column]:
     return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    return mix(docs, path(), WEIGHTS, SHARE, epochs=EPOCHS, seed=SEED)
+def mixed(docs: DataFrame, into: str = "mix") -> DataFrame:
+    return mix(docs, path(), WEIGHTS, SHARE, epochs=EPOCHS, seed=SEED, into=into)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
