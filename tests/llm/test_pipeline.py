@@ -90,6 +90,25 @@ def test_run_and_an_empty_table(spark, tmp_path):
     assert c.run(spark, f"{tmp_path}/b").count() == 0
 
 
+@pytest.mark.parametrize("name,stage", c.STAGES[:-1])
+def test_stages_pass_columns_of_any_name(spark, tmp_path, name, stage):
+    """Names that the stages use themselves, a dot, and nulls in every column."""
+    extra = ["mix", "quality", "leak", "a.b", "id", "fp", "_near_id", "_mix_here", "tokens", "copies", "words"]
+    text = " ".join(f"wort{i} the of" for i in range(60))
+    rows = [(i, t, "en", "src0", 5, *[f"{k}{i}" for k in extra]) for i, t in enumerate([text, text + " more", text, "x " * 300, "", None])]
+    rows += [(None,) * (5 + len(extra)), rows[0]]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{k}` string" for k in extra)
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, "never here " * 9), (None, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = stage(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    for r in got.collect():
+        if r.doc_id is not None:
+            assert [r[k] for k in extra] == [f"{k}{r.doc_id}" for k in extra]
+    assert c.tokens(spark, docs, str(tmp_path)).count() == len(rows)
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_queries_with_sql_equal_duckdb(spark):
     import duckdb

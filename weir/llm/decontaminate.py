@@ -15,15 +15,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .shared import fresh
+from .shared import with_result
 
 WINDOW = 13
 #: Bytes of items that one automaton holds, unless a single item is longer.
@@ -197,47 +194,43 @@ def decontaminate(
     parts = automata(benchmark, item, item_text, window)
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() != into.lower()]
     part, whole = coverage
-    source = fresh(docs, "_leak_text")
-    chosen = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(source))
     kind = pa.struct(
         [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),
          ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("contaminated", pa.bool_())]
         + [("clean_text", pa.string())] * clean
     )
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(b.num_columns - 1).cast(pa.large_binary()).to_pylist()
-            spans: list[list] = [[] for _ in texts]
-            items: list[set] = [set() for _ in texts]
-            n_words = [0] * len(texts)
-            for share, p in enumerate(parts):
-                scan = p.value.scan
-                for k, x in enumerate(texts):
-                    if x:
-                        words = x.translate(_FOLD).split()
-                        n_words[k] = len(words)
-                        s, i = scan(words)
-                        if s:
-                            spans[k] += s
-                            items[k] |= i
-                if len(parts) > 1:
-                    del p._value  # held one at a time
-            if not parts:
-                n_words = [len(words_of_item(x)) if x else 0 for x in texts]
-            out = []
-            for x, s, i, n in zip(texts, spans, items, n_words, strict=True):
-                m = merged(s)
-                hit = sum(z - a for a, z in m)
-                row = {"n_words": n, "n_hit": hit, "items": sorted(i), "spans": [{"start": a, "end": z} for a, z in m], "contaminated": hit > 0 and whole * hit >= part * n}
-                if clean:
-                    row["clean_text"] = None if x is None else without(x, m).decode()
-                out.append(row)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, kind)], names=[*names, into])
+    def judge(column: pa.Array) -> pa.Array:
+        texts = column.cast(pa.large_binary()).to_pylist()
+        spans: list[list] = [[] for _ in texts]
+        items: list[set] = [set() for _ in texts]
+        n_words = [0] * len(texts)
+        for share, p in enumerate(parts):
+            scan = p.value.scan
+            for k, x in enumerate(texts):
+                if x:
+                    words = x.translate(_FOLD).split()
+                    n_words[k] = len(words)
+                    s, i = scan(words)
+                    if s:
+                        spans[k] += s
+                        items[k] |= i
+            if len(parts) > 1:
+                del p._value  # held one at a time
+        if not parts:
+            n_words = [len(words_of_item(x)) if x else 0 for x in texts]
+        out = []
+        for x, s, i, n in zip(texts, spans, items, n_words, strict=True):
+            m = merged(s)
+            hit = sum(z - a for a, z in m)
+            row = {"n_words": n, "n_hit": hit, "items": sorted(i), "spans": [{"start": a, "end": z} for a, z in m], "contaminated": hit > 0 and whole * hit >= part * n}
+            if clean:
+                row["clean_text"] = None if x is None else without(x, m).decode()
+            out.append(row)
+        return pa.array(out, kind)
 
     inner = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>, contaminated boolean" + ", clean_text string" * clean
-    schema = chosen.drop(source).schema.add(into, StructType.fromDDL(inner))
-    return chosen.mapInArrow(judge, schema)
+    return with_result(docs, F.col(f"`{text}`"), names, judge, into, inner)
 
 
 def items_digest(items: Column) -> Column:

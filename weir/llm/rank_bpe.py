@@ -15,17 +15,14 @@ they are, except one called like the result; an empty table gives an empty table
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from .piece_tokens import KNOWN, LONGEST
-from .shared import byte_letters, fresh
+from .shared import byte_letters, with_result
 
 #: Pieces whose counts a worker holds; beyond it the table is begun anew.
 TABLE = 700_000
@@ -194,24 +191,20 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 20
     path: the tokenizer's file, which every executor must have.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() != into.lower()]
-    chosen = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(fresh(docs, "_bpe_text")))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(column: pa.Array) -> pa.Array:
         counter = _COUNTERS.get(path) or _COUNTERS.setdefault(path, RankCounter(path))
-        for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            n: list[int] = []
-            at = 0
-            while at < len(texts):
-                size, to = 0, at
-                while to < len(texts) and (to == at or size + len(texts[to]) <= 4 * BATCH):
-                    size += len(texts[to])
-                    to += 1
-                n += counter.count(texts[at:to])
-                at = to
-            sizes = [len(x) if x.isascii() else len(x.encode()) for x in texts]
-            made = pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["n_bytes", "n_tokens", "over_limit"])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], names=[*names, into])
-
-    schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema.add(into, StructType.fromDDL("n_bytes bigint, n_tokens bigint, over_limit boolean"))
-    return chosen.mapInArrow(count, schema)
+        texts = column.to_pylist()
+        n: list[int] = []
+        at = 0
+        while at < len(texts):
+            size, to = 0, at
+            while to < len(texts) and (to == at or size + len(texts[to]) <= 4 * BATCH):
+                size += len(texts[to])
+                to += 1
+            n += counter.count(texts[at:to])
+            at = to
+        sizes = [len(x) if x.isascii() else len(x.encode()) for x in texts]
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["n_bytes", "n_tokens", "over_limit"])
+
+    return with_result(docs, F.coalesce(F.col(f"`{text}`"), F.lit("")), names, count, into, "n_bytes bigint, n_tokens bigint, over_limit boolean")

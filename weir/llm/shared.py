@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from weir.sources.kept import shared_top
 
@@ -47,6 +50,22 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def with_result(docs: DataFrame, text: Column, names: list[str], run: Callable[[pa.Array], pa.Array], into: str, kind: str) -> DataFrame:
+    """Columns `names` of docs with the column that run makes of a batch of texts.
+
+    Columns go through Python under numbers, as Spark takes a dot in the name of a column there for a path.
+    """
+    chosen = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], text.alias("text"))
+    schema = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(chosen.schema.fields[:-1])]).add("made", StructType.fromDDL(kind))
+    own = schema.fieldNames()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], run(b.column(b.num_columns - 1))], names=own)
+
+    return chosen.mapInArrow(each, schema).toDF(*names, into)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     have = {c.lower() for c in df.columns}
