@@ -36,11 +36,39 @@ def test_base_equals_brute_force_and_the_model_beats_it(spark, monkeypatch, head
     assert len(got) == len(rows)
 
 
+def shares(rng):
+    x = rng.random((b.CLASSES, b.SLOTS)).astype(np.float32)
+    x[:, 40:-1] = 0  # classes with fewer words than slots
+    return x / x.sum(1, keepdims=True)
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
-    m = b.Model(np.full(b.CLASSES, 1 / b.CLASSES, np.float32))
-    ctx = np.repeat(rng.integers(0, b.CLASSES, (1, b.CONTEXT)), b.CLASSES, 0)
-    assert (10 ** m.log10_of(ctx, np.arange(b.CLASSES))).sum() == pytest.approx(1, abs=1e-5)
+    m = b.Model(np.full(b.CLASSES, 1 / b.CLASSES, np.float32), shares(rng))
+    ctx = np.repeat(rng.integers(0, b.UNITS, (1, b.CONTEXT)), b.UNITS, 0)
+    assert (10 ** m.log10_of(ctx, np.arange(b.UNITS))).sum() == pytest.approx(1, abs=1e-4)
+    m.q2 *= 1e4  # scores that must be shifted before they are raised
+    assert (10 ** m.log10_of(ctx, np.arange(b.UNITS))).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_probabilities_of_words_sum_to_one():
+    """Over all words and one unknown word in each class, as documents see them."""
+    words = [f"w{i}".encode() for i in range(20_000)] + [b.END]
+    counts = {w: 1 + 30_000 // (k + 1) for k, w in enumerate(words)}
+    of: dict[int, list] = {}
+    for w, c in counts.items():
+        of.setdefault(b.class_of(w), []).append(c)
+    head = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:9_000]
+    v = b.Vocabulary(head, sum(counts.values()), len(counts), {k: (sum(x), len(x), x.count(1)) for k, x in of.items()})
+    m = b.Model(v.prior, v.share)
+    _, units = v.look_up(words)
+    lp = m.log10_of(np.full((len(words), b.CONTEXT), v.end), units)
+    last = units % b.SLOTS == b.SLOTS - 1
+    lp[last] += np.log10([counts[w] + 1 for w, x in zip(words, last, strict=True) if x]) - v.within[units[last] // b.SLOTS]
+    unknown = np.arange(b.CLASSES) * b.SLOTS + b.SLOTS - 1
+    rest = m.log10_of(np.full((b.CLASSES, b.CONTEXT), v.end), unknown) + v.unknown - v.within
+    assert (10**lp).sum() + (10**rest).sum() == pytest.approx(1, abs=1e-4)
+    assert len(set(units[~last].tolist())) > 5_000
 
 
 def test_empty_tables(spark):
@@ -50,10 +78,31 @@ def test_empty_tables(spark):
     assert b.score(docs.limit(0), docs).count() == 0
 
 
+def model(share):
+    return b.Model(np.full(b.CLASSES, 1 / b.CLASSES, np.float32), share)
+
+
+def follows(step, objective, share, names, n):
+    base = objective(model(share))
+    for name in names:
+        m, told = model(share), model(share)
+        told._g = {k: np.ones_like(g, np.float64) * 1e12 for k, g in told._g.items()}  # then a step is the gradient times a constant
+        for k in b.Model.NAMES:
+            setattr(told, k, getattr(told, k).astype(np.float64))
+        before = getattr(told, name).copy()
+        step(told)
+        g = (getattr(told, name) - before) * n
+        eps = 1e-3 / np.abs(g).max()
+        setattr(m, name, getattr(m, name).astype(np.float64) + eps * g)
+        assert objective(m) - base == pytest.approx(eps * (g * g).sum(), rel=0.05), name
+
+
 def test_a_step_follows_the_gradient_of_its_loss():
-    """With the noise fixed, a small step along each parameter's gradient raises the contrastive objective as told."""
+    """A small step along each parameter's gradient raises the contrastive objective as told."""
     rng = np.random.default_rng(4)
-    classes = rng.integers(0, b.CLASSES, 40)
+    units, share = rng.integers(0, b.UNITS, 40), shares(rng)
+    units[share.reshape(-1)[units] == 0] += b.SLOTS - 1 - units[share.reshape(-1)[units] == 0] % b.SLOTS
+    classes, slots = units // b.SLOTS, units % b.SLOTS
     inside = np.minimum(np.r_[np.arange(15), np.arange(25)], b.CONTEXT)
     end = 7
 
@@ -61,27 +110,23 @@ def test_a_step_follows_the_gradient_of_its_loss():
         def random(self, n):
             return (np.arange(n) % 9 + 0.5) / b.CLASSES
 
-    def model():
-        return b.Model(np.full(b.CLASSES, 1 / b.CLASSES, np.float32))
+    def predicted(m):
+        return m.predicted(b._contexts(units, np.array([0, 15]), end)).astype(np.float64)
 
-    def objective(m):
-        ctx = b._contexts(classes, np.array([0, 15]), end)
-        p = m.predicted(ctx).astype(np.float64)
+    def of_classes(m):
+        p = predicted(m)
         off = np.log(b.NOISE * m.prior)
         noise = np.arange(b.NOISE) % 9
         up = (p * m.q[classes]).sum(1) + m.b[classes] - off[classes]
         down = p @ m.q[noise].T + (m.b - off)[noise]
         return -np.log1p(np.exp(-up)).sum() - np.log1p(np.exp(down)).sum()
 
-    base = objective(model())
-    for name in ("r", "q", "c", "b"):
-        m, told = model(), model()
-        told._g = [np.ones_like(g, np.float64) * 1e12 for g in told._g]  # then a step is the gradient times a constant
-        before = getattr(told, name).astype(np.float64).copy()
-        for k in ("r", "q", "c", "b"):
-            setattr(told, k, getattr(told, k).astype(np.float64))
-        told.learn(np.full(b.CONTEXT, end), inside, classes, end, Fixed(), rate=1e6)
-        g = (getattr(told, name) - before) * len(classes)
-        eps = 1e-3 / np.abs(g).max()
-        setattr(m, name, getattr(m, name).astype(np.float64) + eps * g)
-        assert objective(m) - base == pytest.approx(eps * (g * g).sum(), rel=0.05)
+    def of_units(m):
+        p = predicted(m)
+        x = np.einsum("nd,nsd->ns", p, m.q2[classes]) + (m.b2 - m.offset2)[classes]
+        up = x[np.arange(40), slots]
+        return -np.log1p(np.exp(-up)).sum() - (b.WITHIN_NOISE * share[classes] * np.log1p(np.exp(x))).sum()
+
+    ahead = np.full(b.CONTEXT, end)
+    follows(lambda m: m.learn(ahead, inside, units, end, Fixed(), rate=1e6), of_classes, share, ("r", "q", "c", "b"), 40)
+    follows(lambda m: m.learn_within(ahead, inside, units, end, rate=1e6), of_units, share, ("r", "c", "q2", "b2"), 40)

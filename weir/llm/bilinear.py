@@ -1,10 +1,12 @@
 """Language-model scores by a log-bilinear neural model, trained with noise-contrastive estimation in numpy.
 
-Words fall into CLASSES classes: the most frequent ones have a class each, all others share one with words
-of the same two last bytes. The class of the next word is predicted from the vectors of the CONTEXT words
-before it, each weighed entry by entry for its place; its probability is normalised over all classes by one
-matrix product for a batch of words. Within a class a word has its share of the class's training count, with
-one unknown word added, so a text's score is the log10 of a proper probability.
+A word belongs to one of CLASSES classes by its last two bytes. Within a class the most frequent words, up to
+SLOTS - 1 of those in the head of the vocabulary, are units of their own; all others share the last unit. The
+next word's class is predicted from the vectors of the units of the CONTEXT words before it, each weighed entry
+by entry for its place, and its unit among those of its class from the same prediction. Both are normalised, by
+a matrix product over all classes and one over the units of a class, and a word of a shared unit has its share
+of that unit's training count. A class holds one unknown word, which weighs as many as it has words that were
+met once: a text's score is the log10 of a proper probability.
 
     counts    every training word is counted (partial counts leave the tasks, then one shuffle)
     training  every partition of training texts trains from one start over all its words; the parameters
@@ -12,8 +14,12 @@ one unknown word added, so a text's score is the log10 of a proper probability.
     scoring   frequent words are looked up in a table of at most HEAD rows; the rest is joined with the
               counts, so no table that grows with the corpus is sent to executors
 
-Defined cases: a null, empty or blank text is the end alone; repeated rows are scored alike; an empty
-training set makes every word unknown; an empty table gives an empty table.
+Classes are told apart with noise classes drawn by their frequency, which a step shares. Within a class the
+noise is taken in expectation: every unit counts as WITHIN_NOISE times its share of the class.
+
+Defined cases: a null, empty or blank text is the end alone; repeated rows, ties in counts and repeated ids are
+each scored alike; a very long text is one row, held by one task; columns beside id and text, whatever they are
+called, are not read; an empty training set makes every word unknown; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,24 +31,34 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
 
-CLASSES, OWN = 256, 176
+CLASSES, SLOTS = 128, 64
+UNITS = CLASSES * SLOTS
 CONTEXT, DIM = 5, 24
-#: Frequent words that every executor holds.
+#: Frequent words that every executor holds, at most.
 HEAD = 150_000
 #: The end of a text, which no word can be.
 END = b" "
-NOISE, STEP, SCORE_STEP = 48, 2048, 768
+NOISE, WITHIN_NOISE, STEP, SCORE_STEP = 48, 16, 2048, 768
+#: Steps on classes for each step on units, which goes over the words of all of them.
+RUN = 4
 #: Distinct words that a task counts before it passes them on.
 PARTIAL = 400_000
+#: Parameters that a row holds while models are averaged.
+ROW = 64
+
+
+def class_of(word: bytes) -> int:
+    return zlib.crc32(word[-2:]) % CLASSES
 
 
-def shared_class(word: bytes) -> int:
-    return OWN + zlib.crc32(word[-2:]) % (CLASSES - OWN)
+def _class(word: str) -> Column:
+    """class_of as a column."""
+    return F.pmod(F.crc32(F.substring(word, -2, 2)), F.lit(CLASSES)).cast("int")
 
 
 def words_of_bytes(text: bytes | None) -> list[bytes]:
@@ -74,42 +90,62 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Vocabulary:
-    """The head's words with their counts, and what each class holds."""
+    """The head's words with their counts and units, and how much each unit holds."""
 
-    def __init__(self, head: list[tuple[bytes, int]], total: int, distinct: int, shared: dict[int, tuple[int, int]]) -> None:
+    def __init__(self, head: list[tuple[bytes, int]], total: int, distinct: int, classes: dict[int, tuple[int, int, int]]) -> None:
+        """head: the most frequent first; classes: (count, distinct words, those met once) of each class over the
+        whole vocabulary."""
         self.total, self.distinct = total, distinct
         self.rows = {w: k for k, (w, _) in enumerate(head)}
         self.logs = np.log10(np.array([c for _, c in head], np.float64) + 1)
-        self.classes = np.array([k if k < OWN else shared_class(w) for k, (w, _) in enumerate(head)], np.int64)
-        n = np.ones(CLASSES)
-        for k, (_, c) in enumerate(head[:OWN]):
-            n[k] += c
-        self.within = np.zeros(CLASSES)
-        for k, (c, v) in shared.items():
-            n[k] += c
-            self.within[k] = np.log10(c + v + 1)
-        #: How likely each class is, whatever stands before.
+        held = np.zeros((CLASSES, SLOTS))
+        taken = np.zeros(CLASSES, np.int64)
+        self.units = np.zeros(len(head), np.int64)
+        for k, (w, c) in enumerate(head):
+            of = class_of(w)
+            slot = min(int(taken[of]), SLOTS - 1)
+            self.units[k] = of * SLOTS + slot
+            if slot < SLOTS - 1:
+                held[of, slot] = c
+                taken[of] += 1
+        all_, kinds, unknown = np.zeros(CLASSES), np.zeros(CLASSES), np.full(CLASSES, 1 / CLASSES)
+        for k, (c, v, once) in classes.items():
+            all_[k], kinds[k] = c, v
+            unknown[k] += once
+        #: Of the shared unit: counts, one for each of its words, and the unknown word.
+        held[:, -1] = all_ - held[:, :-1].sum(1) + kinds - taken + unknown
+        self.within, self.unknown = np.log10(held[:, -1]), np.log10(unknown)
+        n = held.sum(1)
+        #: How likely each class is, and each unit within its class, whatever stands before.
         self.prior = (n / n.sum()).astype(np.float32)
-        self.end = min(self.rows.get(END, CLASSES - 1), CLASSES - 1)
-        self.end = self.end if END in self.rows and self.rows[END] < OWN else shared_class(END)
+        self.share = (held / n[:, None]).astype(np.float32)
+        self.end = int(self.units[self.rows[END]]) if END in self.rows else class_of(END) * SLOTS + SLOTS - 1
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Row in the head (-1: not there) and class of each word."""
+        """Row in the head (-1: not there) and unit of each word."""
         rows = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
-        classes = self.classes[rows] if len(self.classes) else np.zeros(len(rows), np.int64)
+        units = self.units[rows] if len(self.units) else np.zeros(len(rows), np.int64)
         for k in np.flatnonzero(rows < 0).tolist():
-            classes[k] = shared_class(words[k])
-        return rows, classes
+            units[k] = class_of(words[k]) * SLOTS + SLOTS - 1
+        return rows, units
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    rows = counts.orderBy(F.desc("c"), "word").limit(head).collect()  # at most `head` rows
-    own = [bytes(r.word) for r in rows[:OWN]]
-    cls = F.lit(OWN) + F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(CLASSES - OWN))
-    rest = counts.where(~F.col("word").isin(own)) if own else counts
-    shared = {r.k: (r.c, r.v) for r in rest.groupBy(cls.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}  # one for each class
-    return Vocabulary([(bytes(r.word), r.c) for r in rows], total, distinct, shared)
+    # counts by steps of a sixteenth of an octave: a few hundred rows say from which count on words fit the head
+    step = F.floor(F.log2("c") * 16)
+    steps = sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect(), reverse=True)
+    least, room = None, head
+    for s in steps:
+        room -= s.n
+        if room < 0:
+            break
+        least = s.least
+    rows = [] if least is None else counts.where(F.col("c") >= least).collect()  # at most `head` rows
+    rows.sort(key=lambda r: (-r.c, bytes(r.word)))
+    by = counts.groupBy(_class("word").alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"))
+    classes = {r.k: (r.c, r.v, r.once) for r in by.collect()}  # one for each class
+    return Vocabulary([(bytes(r.word), r.c) for r in rows], total, distinct, classes)
 
 
 def _contexts(classes: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
@@ -123,11 +159,11 @@ def _contexts(classes: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
-def _sums(index: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of rows by class."""
+def _sums(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by index, which is below n."""
     width = rows.shape[1]
     places = (index[:, None] * width + np.arange(width)).ravel()
-    return np.bincount(places, rows.ravel(), CLASSES * width).reshape(CLASSES, width)
+    return np.bincount(places, rows.ravel(), n * width).reshape(n, width)
 
 
 def _gathered(placed: list[np.ndarray], context: np.ndarray) -> np.ndarray:
@@ -145,33 +181,44 @@ def _off(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-_ONES = np.ones(CLASSES, np.float32)
+def _of_class(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each class that occurs, with its places."""
+    order = np.argsort(classes.astype(np.uint8), kind="stable")
+    ends = np.cumsum(np.bincount(classes, minlength=CLASSES))
+    for c, (a, z) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)):
+        if a < z:
+            yield c, order[a:z]
+
+
+_ONES = np.ones(max(CLASSES, SLOTS), np.float32)
+_NONE = np.float32(-1e4)
 
 
 class Model:
-    def __init__(self, prior: np.ndarray, seed: int = 3) -> None:
+    """r: units as context; q, b: classes; q2, b2: units within their class; c: places of the context."""
+
+    NAMES = ("r", "q", "c", "b", "q2", "b2")
+
+    def __init__(self, prior: np.ndarray, share: np.ndarray, seed: int = 3) -> None:
         r = np.random.default_rng(seed)
-        self.prior = prior
-        self.r = (r.standard_normal((CLASSES, DIM)) * 0.1).astype(np.float32)
+        self.prior, self.share = prior, share
+        self.r = (r.standard_normal((UNITS, DIM)) * 0.1).astype(np.float32)
         self.q = (r.standard_normal((CLASSES, DIM)) * 0.1).astype(np.float32)
         self.c = (np.ones((CONTEXT, DIM)) / CONTEXT).astype(np.float32)
         self.b = np.log(prior)
+        self.q2 = (r.standard_normal((CLASSES, SLOTS, DIM)) * 0.1).astype(np.float32)
+        self.b2 = np.where(share > 0, np.log(np.maximum(share, 1e-30)), _NONE).astype(np.float32)
         self.offset, self.cumulated = np.log(NOISE * prior), np.cumsum(prior.astype(np.float64) / prior.sum(dtype=np.float64))
-        self._g = [np.full_like(x, 1e-2) for x in (self.r, self.q, self.c, self.b)]
+        self.offset2 = np.where(share > 0, np.log(np.maximum(WITHIN_NOISE * share, 1e-30)), 0).astype(np.float32)
+        self._g = {k: np.full_like(getattr(self, k), 1e-2) for k in self.NAMES}
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
         return _gathered([self.r * c for c in self.c], context)
 
-    def learn(self, before: np.ndarray, inside: np.ndarray, words: np.ndarray, end: int, rng: np.random.Generator, rate: float = 0.08) -> None:
-        """One step of noise-contrastive estimation over a run of words; noise words are shared by the step.
-
-        before: the CONTEXT classes ahead of the run; inside: for each word, how many words of its text stand
-        before it (CONTEXT at most). Vectors are fetched and gradients summed by class once for the run, as
-        the contexts of neighbours are the same words shifted.
-        """
-        n, row = len(words), np.concatenate([before, words])
-        vectors = np.ascontiguousarray(self.r[row].T)  # one row for each entry: long rows are quick to work on
-        c = [x[:, None] for x in self.c]
+    def _ahead(self, before: np.ndarray, inside: np.ndarray, units: np.ndarray, end: int) -> tuple:
+        """The predictions of a run, one row for each entry, and what their gradients need."""
+        n, row = len(units), np.concatenate([before, units])
+        vectors = np.ascontiguousarray(self.r[row].T)  # long rows are quick to work on
         at = [slice(CONTEXT - 1 - k, CONTEXT - 1 - k + n) for k in range(CONTEXT)]
         outside = [np.flatnonzero(inside <= k) for k in range(CONTEXT)]
         seen = [vectors[:, at[k]] for k in range(CONTEXT)]
@@ -179,64 +226,122 @@ class Model:
             if len(o):
                 seen[k] = seen[k].copy()
                 seen[k][:, o] = self.r[end][:, None]
-        p = seen[0] * c[0]
+        p = seen[0] * self.c[0][:, None]
         for k in range(1, CONTEXT):
-            p += seen[k] * c[k]
-        noise = np.minimum(np.searchsorted(self.cumulated, rng.random(NOISE), side="right"), CLASSES - 1)
-        offset = self.offset
-        own_q, noise_q = np.ascontiguousarray(self.q[words].T), self.q[noise]
-        up = _off((p * own_q).sum(0) + (self.b - offset)[words])
-        down = -_off(-(noise_q @ p + (self.b - offset)[noise][:, None]))
-        dp = up * own_q + noise_q.T @ down
-        gq = _sums(words, (up * p).T).astype(np.float32)
-        gb = np.bincount(words, up, CLASSES).astype(np.float32)
-        np.add.at(gq, noise, down @ p.T)
-        np.add.at(gb, noise, down.sum(1))
-        gc, back, ends = np.empty_like(self.c), np.zeros_like(vectors), np.zeros(DIM, np.float32)
+            p += seen[k] * self.c[k][:, None]
+        return p, (row, at, outside, seen)
+
+    def _back(self, dp: np.ndarray, kept: tuple, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Units whose vectors are to change, by how much, and how much the places' weights are."""
+        row, at, outside, seen = kept
+        gc, back, ends = np.empty_like(self.c), np.zeros((DIM, len(row)), dp.dtype), np.zeros(DIM, dp.dtype)
         for k in range(CONTEXT):
             gc[k] = (dp * seen[k]).sum(1)
-            own, o = dp * c[k], outside[k]
+            own, o = dp * self.c[k][:, None], outside[k]
             if len(o):
                 ends += own[:, o].sum(1)
                 own[:, o] = 0
             back[:, at[k]] += own
-        gr = _sums(row, back.T).astype(np.float32)
-        gr[end] += ends
-        for x, g, acc in zip((self.r, self.q, self.c, self.b), (gr, gq, gc, gb), self._g, strict=True):
-            g /= n
-            acc += g * g
-            x += rate * g / np.sqrt(acc)
-
-    def log10_of(self, context: np.ndarray, words: np.ndarray) -> np.ndarray:
+        some, index = np.unique(np.r_[row, end], return_inverse=True)
+        return some, _sums(index, np.vstack([back.T, ends]), len(some)).astype(self.r.dtype), gc
+
+    def _move(self, name: str, g: np.ndarray, n: int, rate: float, some: np.ndarray | slice = slice(None)) -> None:
+        x, acc = getattr(self, name), self._g[name]
+        g = g / n
+        a = acc[some] + g * g
+        acc[some] = a
+        x[some] += rate * g / np.sqrt(a)
+
+    def learn(self, before: np.ndarray, inside: np.ndarray, units: np.ndarray, end: int, rng: np.random.Generator, rate: float = 0.08) -> None:
+        """One step of noise-contrastive estimation of the classes of a run of words; it shares its noise.
+
+        before: the CONTEXT units ahead of the run; inside: for each word, how many words of its text stand
+        before it (CONTEXT at most). Vectors are fetched and gradients summed once for the run, as the contexts of
+        neighbours are the same words shifted.
+        """
+        words = units // SLOTS
+        p, kept = self._ahead(before, inside, units, end)
+        noise = np.minimum(np.searchsorted(self.cumulated, rng.random(NOISE), side="right"), CLASSES - 1)
+        own_q, noise_q = np.ascontiguousarray(self.q[words].T), self.q[noise]
+        up = _off((p * own_q).sum(0) + (self.b - self.offset)[words])
+        down = -_off(-(noise_q @ p + (self.b - self.offset)[noise][:, None]))
+        dp = up * own_q + noise_q.T @ down
+        gq = _sums(words, (up * p).T, CLASSES).astype(self.q.dtype)
+        gb = np.bincount(words, up, CLASSES).astype(self.b.dtype)
+        np.add.at(gq, noise, down @ p.T)
+        np.add.at(gb, noise, down.sum(1))
+        some, gr, gc = self._back(dp, kept, end)
+        n = len(units)
+        self._move("r", gr, n, rate, some)
+        self._move("q", gq, n, rate)
+        self._move("c", gc, n, rate)
+        self._move("b", gb, n, rate)
+
+    def learn_within(self, before: np.ndarray, inside: np.ndarray, units: np.ndarray, end: int, rate: float = 0.08) -> None:
+        """One step of noise-contrastive estimation of the units within their classes."""
+        classes, slots = units // SLOTS, units % SLOTS
+        p, kept = self._ahead(before, inside, units, end)
+        dp, gq, gb = np.zeros_like(p), np.zeros_like(self.q2), np.zeros_like(self.b2)
+        for c, at in _of_class(classes):
+            own, q, k = p[:, at], self.q2[c], np.arange(len(at))
+            x = q @ own
+            x += (self.b2[c] - self.offset2[c])[:, None]
+            x = _off(np.negative(x, out=x))  # how sure each unit is not noise
+            up = 1 - x[slots[at], k]
+            x *= (-WITHIN_NOISE * self.share[c])[:, None]
+            x[slots[at], k] += up
+            dp[:, at] = q.T @ x
+            gq[c], gb[c] = x @ own.T, x.sum(1)
+        some, gr, gc = self._back(dp, kept, end)
+        n = len(units)
+        self._move("r", gr, n, rate, some)
+        self._move("c", gc, n, rate)
+        self._move("q2", gq, n, rate)
+        self._move("b2", gb, n, rate)
+
+    @staticmethod
+    def _sure(x: np.ndarray, own: np.ndarray, safe: bool) -> np.ndarray:
+        """log of the softmax of rows x at the entries whose values are own; x is used up."""
+        if not safe:
+            top = x.max(1)
+            x -= top[:, None]
+            own = own - top
+        np.exp(x, out=x)
+        return own - np.log(x @ _ONES[: x.shape[1]])
+
+    def log10_of(self, context: np.ndarray, units: np.ndarray) -> np.ndarray:
         """Batches are small enough for their scores to stay in cache. Scores are far below where a float
         overflows, which the norms say at once; else the rows' maxima are taken out first."""
         placed = [self.r * c for c in self.c]
-        reach = sum(float(np.sqrt((p * p).sum(1)).max()) for p in placed) * float(np.sqrt((self.q * self.q).sum(1)).max())
-        safe = reach + float(np.abs(self.b).max()) < 80
-        q, own_q = np.vstack([self.q.T, self.b]), self.q
-        p = np.ones((min(SCORE_STEP, max(1, len(words))), DIM + 1), np.float32)
-        s = np.empty((len(p), CLASSES), np.float32)
-        out = np.empty(len(words))
-        for a in range(0, len(words), SCORE_STEP):
-            w = words[a : a + SCORE_STEP]
-            n = len(w)
-            p[:n, :DIM] = _gathered(placed, context[a : a + SCORE_STEP])
-            own = np.einsum("nd,nd->n", p[:n, :DIM], own_q[w]) + self.b[w]
-            x = np.matmul(p[:n], q, out=s[:n])
-            if not safe:
-                top = x.max(1)
-                x -= top[:, None]
-                own = own - top
-            np.exp(x, out=x)
-            out[a : a + n] = own - np.log(x @ _ONES)
+        norm = lambda x: float(np.sqrt((x * x).sum(-1)).max())
+        reach = sum(map(norm, placed))
+        safe = reach * norm(self.q) + float(np.abs(self.b).max()) < 80
+        safe2 = reach * norm(self.q2) + float(np.abs(self.b2[self.share > 0]).max(initial=0)) < 80
+        classes, slots = units // SLOTS, units % SLOTS
+        q = np.vstack([self.q.T, self.b])
+        q2 = np.concatenate([self.q2, self.b2[:, :, None]], 2).transpose(0, 2, 1)
+        p = np.ones((len(units), DIM + 1), np.float32)
+        out = np.empty(len(units))
+        s = np.empty((SCORE_STEP, CLASSES), np.float32)
+        for a in range(0, len(units), SCORE_STEP):
+            some = p[a : a + SCORE_STEP]
+            n = len(some)
+            some[:, :DIM] = _gathered(placed, context[a : a + SCORE_STEP])
+            x = np.matmul(some, q, out=s[:n])
+            out[a : a + n] = self._sure(x, x[np.arange(n), classes[a : a + n]], safe)
+        for c, at in _of_class(classes):
+            for a in range(0, len(at), SCORE_STEP):
+                some = at[a : a + SCORE_STEP]
+                x = p[some] @ q2[c]
+                out[some] += self._sure(x, x[np.arange(len(some)), slots[some]], safe2)
         return out / np.log(10)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.reshape(-1) for x in (self.r, self.q, self.c, self.b)]).astype(np.float64)
+        return np.concatenate([getattr(self, k).reshape(-1) for k in self.NAMES]).astype(np.float64)
 
     def filled(self, flat: np.ndarray) -> Model:
         at = 0
-        for name in ("r", "q", "c", "b"):
+        for name in self.NAMES:
             x = getattr(self, name)
             setattr(self, name, flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
@@ -259,29 +364,33 @@ def _batches(texts: Iterator[list[bytes]], size: int) -> Iterator[list[list[byte
 def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", seed: int = 3) -> Model:
     """Each partition passes over all its words once; parameters are averaged by words."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)  # at most HEAD words
+    names = [f"x{k}" for k in range(ROW)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        m, rng, total = Model(v.prior, seed), np.random.default_rng(seed), 0
-        for own in _batches(([*words_of_bytes(x), END] for b in batches for x in _texts(b)), 32 * STEP):
+        m, rng, total = Model(v.prior, v.share, seed), np.random.default_rng(seed), 0
+        for own in _batches(([*words_of_bytes(x), END] for b in batches for x in _texts(b)), 8 * RUN * STEP):
             sizes = np.array([len(w) for w in own])
-            _, classes = v.look_up([w for o in own for w in o])
-            inside = np.minimum(np.arange(len(classes)) - np.repeat(np.cumsum(sizes) - sizes, sizes), CONTEXT)
-            ahead = np.concatenate([np.full(CONTEXT, v.end), classes])
-            for a in rng.permutation(np.arange(0, len(classes), STEP)).tolist():
-                m.learn(ahead[a : a + CONTEXT], inside[a : a + STEP], classes[a : a + STEP], v.end, rng)
-            total += len(classes)
+            _, units = v.look_up([w for o in own for w in o])
+            inside = np.minimum(np.arange(len(units)) - np.repeat(np.cumsum(sizes) - sizes, sizes), CONTEXT)
+            ahead = np.concatenate([np.full(CONTEXT, v.end), units])
+            for a in rng.permutation(np.arange(0, len(units), RUN * STEP)).tolist():
+                for k in range(a, min(a + RUN * STEP, len(units)), STEP):
+                    m.learn(ahead[k : k + CONTEXT], inside[k : k + STEP], units[k : k + STEP], v.end, rng)
+                m.learn_within(ahead[a : a + CONTEXT], inside[a : a + RUN * STEP], units[a : a + RUN * STEP], v.end)
+            total += len(units)
         if total:
             flat = m.flat()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * total), pa.array(np.full(len(flat), total))], names=["k", "x", "n"])
-
-    got = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(run, "k bigint, x double, n bigint").groupBy("k").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()  # one for each parameter
-    model = Model(vocab.prior, seed)
+            rows = np.pad(flat, (0, -len(flat) % ROW)).reshape(-1, ROW) * total
+            columns = [pa.array(np.arange(len(rows))), pa.array(np.full(len(rows), total)), *[pa.array(np.ascontiguousarray(rows[:, k])) for k in range(ROW)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "n", *names])
+
+    schema = "k bigint, n bigint, " + ", ".join(f"{x} double" for x in names)
+    sums = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(run, schema).groupBy("k").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names])
+    model = Model(vocab.prior, vocab.share, seed)
+    got = sorted(sums.collect())  # one for each ROW parameters
     if got:
-        flat = np.empty(len(got))
-        for r in got:
-            flat[r.k] = r.x / r.n
-        model.filled(flat)
+        model.filled(np.concatenate([np.array(r[2:]) / r.n for r in got]))
     return model
 
 
@@ -290,7 +399,7 @@ def score(docs: DataFrame, train_on: DataFrame, id: str = "doc_id", text: str =
     counts = written(word_counts(train_on, text))
     vocab = vocabulary(counts, head)
     model = train(train_on, vocab, text)
-    model._g = []
+    model._g = {}
     shared = docs.sparkSession.sparkContext.broadcast((vocab, model))  # at most HEAD words and the model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,11 +410,12 @@ def score(docs: DataFrame, train_on: DataFrame, id: str = "doc_id", text: str =
                 sizes = np.array([len(w) for w in own])
                 starts = np.cumsum(sizes) - sizes
                 flat = [w for o in own for w in o]
-                rows, classes = v.look_up(flat)
-                lp = m.log10_of(_contexts(classes, starts, v.end), classes) - v.within[classes]
+                rows, units = v.look_up(flat)
                 known = rows >= 0
                 logs = np.where(known, v.logs[rows], 0.0) if len(v.logs) else np.zeros(len(rows))
-                lp += np.where(classes >= OWN, logs, 0.0)
+                lp = m.log10_of(_contexts(units, starts, v.end), units)
+                classes = units // SLOTS
+                lp += np.where(units % SLOTS == SLOTS - 1, np.where(known, logs, v.unknown[classes]) - v.within[classes], 0.0)
                 lost = np.flatnonzero(~known)
                 ends = np.searchsorted(lost, np.r_[starts, len(flat)])
                 tails = [Counter([flat[k] for k in lost[a:z].tolist()]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
@@ -321,10 +431,12 @@ def score(docs: DataFrame, train_on: DataFrame, id: str = "doc_id", text: str =
     passed = docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t")).mapInArrow(run, "id bigint, n_tokens bigint, known bigint, logs double, lp double, tail array<struct<word:binary,n:bigint>>")
     passed = written(passed.withColumn("row", F.monotonically_increasing_id()))  # written once, so a row keeps its number
     tail = passed.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.n")
-    found = tail.join(counts, "word").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("weight"))
-    both = passed.drop("tail").join(found, "row", "left").fillna({"more": 0, "weight": 0.0})
+    unknown = F.element_at(F.array(*[F.lit(float(x)) for x in vocab.unknown]), _class("word") + 1)
+    logs = F.log10(F.col("c") + 1)
+    found = tail.join(counts, "word").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * logs).alias("weight"), F.sum(F.col("n") * (logs - unknown)).alias("gain"))
+    both = passed.drop("tail").join(found, "row", "left").fillna({"more": 0, "weight": 0.0, "gain": 0.0})
     return both.select(
         "id", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(int(vocab.total)).cast("bigint").alias("train_tokens"),
         (F.col("logs") + F.col("weight") - F.col("n_tokens") * F.lit(float(np.log10(vocab.total + vocab.distinct + 1)))).alias("base_score"),
-        (F.col("lp") + F.col("weight")).alias("score"),
+        (F.col("lp") + F.col("gain")).alias("score"),
     )
