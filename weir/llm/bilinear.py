@@ -14,8 +14,8 @@ met once: a text's score is the log10 of a proper probability.
     scoring   frequent words are looked up in a table of at most HEAD rows; the rest is joined with the
               counts, so no table that grows with the corpus is sent to executors
 
-Classes are told apart with noise classes drawn by their frequency, which a step shares. Within a class the
-noise is taken in expectation: every unit counts as WITHIN_NOISE times its share of the class.
+Classes are told apart from noise classes drawn by their frequency, which a step shares; units from noise units
+drawn by their share of the class, which BLOCK words share.
 
 Defined cases: a null, empty or blank text is the end alone; repeated rows, ties in counts and repeated ids are
 each scored alike; a very long text is one row, held by one task; columns beside id and text, whatever they are
@@ -25,16 +25,15 @@ called, are not read; an empty training set makes every word unknown; an empty t
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import slices, written
 
 CLASSES, SLOTS = 128, 64
 UNITS = CLASSES * SLOTS
@@ -44,10 +43,10 @@ HEAD = 150_000
 #: The end of a text, which no word can be.
 END = b" "
 NOISE, WITHIN_NOISE, STEP, SCORE_STEP = 48, 16, 2048, 768
-#: Steps on classes for each step on units, which goes over the words of all of them.
-RUN = 4
-#: Distinct words that a task counts before it passes them on.
-PARTIAL = 400_000
+#: Words of a class that share noise units.
+BLOCK = 16
+#: Bytes of texts whose words are numbered at once, in counting and in reading them; words that are scored at once.
+COUNTED, SLICE, LINE = 1 << 25, 1 << 23, 1 << 17
 #: Parameters that a row holds while models are averaged.
 ROW = 64
 
@@ -61,32 +60,41 @@ def _class(word: str) -> Column:
     return F.pmod(F.crc32(F.substring(word, -2, 2)), F.lit(CLASSES)).cast("int")
 
 
-def words_of_bytes(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
+#: The class of a word that ends in each pair of bytes, and of one that is a single byte.
+_PAIRS = np.array([class_of(bytes([a, b])) for a in range(256) for b in range(256)])
+_SINGLES = np.array([class_of(bytes([a])) for a in range(256)])
 
 
-def _texts(b: pa.RecordBatch, k: int = 0) -> list[bytes | None]:
-    return b.column(k).cast(pa.large_binary()).to_pylist()
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """How many words each text has, its end included; the words' numbers, end to end; the words. The end is 0."""
+    cut = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    n = np.diff(cut.offsets.to_numpy()).astype(np.int64)
+    both = pa.concat_arrays([pa.array([END.decode()]), cut.flatten()]).dictionary_encode()
+    codes, words = both.indices.to_numpy()[1:], both.dictionary
+    blank = pc.index(words, "").as_py()
+    if blank >= 0:  # of a text without words
+        keep = codes != blank
+        n -= np.add.reduceat(~keep, np.cumsum(n) - n)
+        codes = codes[keep]
+    return n + 1, np.insert(codes, np.cumsum(n), 0), words.cast(pa.binary())
+
+
+def _slices(batches: Iterator[pa.RecordBatch], size: int, column: int = 0) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    for b in batches:
+        texts = pc.fill_null(b.column(column), "")
+        for a, z in slices(texts, size):
+            yield b.slice(a, z - a), texts.slice(a, z - a)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, c) over all texts, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for b in batches:
-            for x in _texts(b):
-                counts.update(words_of_bytes(x))
-                counts[END] += 1
-                if len(counts) >= PARTIAL:
-                    yield out(counts)
-                    counts.clear()
-        yield out(counts)
+        for _, texts in _slices(batches, COUNTED):
+            _, codes, words = numbered(texts)
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(codes, minlength=len(words)))], names=["word", "c"])
 
-    def out(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
-
-    return docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(run, "word binary, c bigint").where("c > 0").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Vocabulary:
@@ -96,7 +104,7 @@ class Vocabulary:
         """head: the most frequent first; classes: (count, distinct words, those met once) of each class over the
         whole vocabulary."""
         self.total, self.distinct = total, distinct
-        self.rows = {w: k for k, (w, _) in enumerate(head)}
+        self.words = pa.array([w for w, _ in head], pa.binary())
         self.logs = np.log10(np.array([c for _, c in head], np.float64) + 1)
         held = np.zeros((CLASSES, SLOTS))
         taken = np.zeros(CLASSES, np.int64)
@@ -119,14 +127,17 @@ class Vocabulary:
         #: How likely each class is, and each unit within its class, whatever stands before.
         self.prior = (n / n.sum()).astype(np.float32)
         self.share = (held / n[:, None]).astype(np.float32)
-        self.end = int(self.units[self.rows[END]]) if END in self.rows else class_of(END) * SLOTS + SLOTS - 1
-
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Row in the head (-1: not there) and unit of each word."""
-        rows = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
-        units = self.units[rows] if len(self.units) else np.zeros(len(rows), np.int64)
-        for k in np.flatnonzero(rows < 0).tolist():
-            units[k] = class_of(words[k]) * SLOTS + SLOTS - 1
+        self.end = int(self.look_up(pa.array([END]))[1][0])
+
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Row in the head (-1: not there) and unit of each word; no word is empty."""
+        rows = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy().astype(np.int64)
+        ends, data = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64), np.frombuffer(words.buffers()[2], np.uint8)
+        last = data[ends[1:] - 1].astype(np.int64)
+        classes = np.where(np.diff(ends) > 1, _PAIRS[data[np.maximum(ends[1:] - 2, 0)].astype(np.int64) * 256 + last], _SINGLES[last])
+        units = classes * SLOTS + SLOTS - 1
+        known = rows >= 0
+        units[known] = self.units[rows[known]]
         return rows, units
 
 
@@ -166,6 +177,14 @@ def _sums(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(places, rows.ravel(), n * width).reshape(n, width)
 
 
+def _sums_of_some(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The indices that occur, each once, and the sums of their rows."""
+    order = np.argsort(index.astype(np.uint16), kind="stable")
+    index = index[order]
+    first = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
+    return index[first], np.add.reduceat(rows[order], first, 0)
+
+
 def _gathered(placed: list[np.ndarray], context: np.ndarray) -> np.ndarray:
     out = placed[0].take(context[:, 0], 0)
     for k in range(1, CONTEXT):
@@ -210,6 +229,10 @@ class Model:
         self.b2 = np.where(share > 0, np.log(np.maximum(share, 1e-30)), _NONE).astype(np.float32)
         self.offset, self.cumulated = np.log(NOISE * prior), np.cumsum(prior.astype(np.float64) / prior.sum(dtype=np.float64))
         self.offset2 = np.where(share > 0, np.log(np.maximum(WITHIN_NOISE * share, 1e-30)), 0).astype(np.float32)
+        # the units of class k lie between k and k + 1
+        within = np.cumsum(share.astype(np.float64), 1) / np.maximum(share.sum(1, dtype=np.float64), 1e-30)[:, None]
+        self.cumulated2 = (np.arange(CLASSES)[:, None] + within).ravel()
+        self.last = np.array([k * SLOTS + (np.flatnonzero(x)[-1] if x.any() else 0) for k, x in enumerate(share)])
         self._g = {k: np.full_like(getattr(self, k), 1e-2) for k in self.NAMES}
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
@@ -236,14 +259,13 @@ class Model:
         row, at, outside, seen = kept
         gc, back, ends = np.empty_like(self.c), np.zeros((DIM, len(row)), dp.dtype), np.zeros(DIM, dp.dtype)
         for k in range(CONTEXT):
-            gc[k] = (dp * seen[k]).sum(1)
+            gc[k] = np.einsum("dn,dn->d", dp, seen[k])
             own, o = dp * self.c[k][:, None], outside[k]
             if len(o):
                 ends += own[:, o].sum(1)
                 own[:, o] = 0
             back[:, at[k]] += own
-        some, index = np.unique(np.r_[row, end], return_inverse=True)
-        return some, _sums(index, np.vstack([back.T, ends]), len(some)).astype(self.r.dtype), gc
+        return *_sums_of_some(np.r_[row, end], np.vstack([back.T, ends])), gc
 
     def _move(self, name: str, g: np.ndarray, n: int, rate: float, some: np.ndarray | slice = slice(None)) -> None:
         x, acc = getattr(self, name), self._g[name]
@@ -252,15 +274,8 @@ class Model:
         acc[some] = a
         x[some] += rate * g / np.sqrt(a)
 
-    def learn(self, before: np.ndarray, inside: np.ndarray, units: np.ndarray, end: int, rng: np.random.Generator, rate: float = 0.08) -> None:
-        """One step of noise-contrastive estimation of the classes of a run of words; it shares its noise.
-
-        before: the CONTEXT units ahead of the run; inside: for each word, how many words of its text stand
-        before it (CONTEXT at most). Vectors are fetched and gradients summed once for the run, as the contexts of
-        neighbours are the same words shifted.
-        """
-        words = units // SLOTS
-        p, kept = self._ahead(before, inside, units, end)
+    def _against_classes(self, p: np.ndarray, words: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gradients of p, q and b: the classes of a run of words against noise that they share."""
         noise = np.minimum(np.searchsorted(self.cumulated, rng.random(NOISE), side="right"), CLASSES - 1)
         own_q, noise_q = np.ascontiguousarray(self.q[words].T), self.q[noise]
         up = _off((p * own_q).sum(0) + (self.b - self.offset)[words])
@@ -270,34 +285,62 @@ class Model:
         gb = np.bincount(words, up, CLASSES).astype(self.b.dtype)
         np.add.at(gq, noise, down @ p.T)
         np.add.at(gb, noise, down.sum(1))
-        some, gr, gc = self._back(dp, kept, end)
+        return dp, gq, gb
+
+    def _against_units(self, p: np.ndarray, units: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gradients of p, and units with those of q2 and b2: units against noise of their class.
+
+        The words of a class lie together in blocks, the last of which has room left, and a block shares noise.
+        """
         n = len(units)
-        self._move("r", gr, n, rate, some)
-        self._move("q", gq, n, rate)
-        self._move("c", gc, n, rate)
-        self._move("b", gb, n, rate)
+        order = np.argsort((units // SLOTS).astype(np.uint8), kind="stable")
+        own = units[order]
+        count = np.bincount(own // SLOTS, minlength=CLASSES)
+        blocks = -(-count // BLOCK)
+        of = np.repeat(np.arange(CLASSES), blocks)
+        start = (np.cumsum(count) - count)[of] + (np.arange(len(of)) - (np.cumsum(blocks) - blocks)[of]) * BLOCK
+        at = start[:, None] + np.arange(BLOCK)
+        room = at >= np.cumsum(count)[of][:, None]
+        sorted_ = np.concatenate([np.ascontiguousarray(p.T)[order], np.zeros((1, DIM), p.dtype)])
+        placed = sorted_[np.where(room, n, at)]
+        noise = np.minimum(np.searchsorted(self.cumulated2, of[:, None] + rng.random((len(of), WITHIN_NOISE)), side="right"), self.last[of][:, None])
+        q, b = self.q2.reshape(UNITS, DIM), self.b2.reshape(-1) - self.offset2.reshape(-1)
+        own_q, noise_q = q[own], q[noise]
+        up = _off(np.einsum("nd,nd->n", sorted_[:n], own_q) + b[own])
+        x = placed @ noise_q.transpose(0, 2, 1)
+        x += b[noise][:, None, :]
+        down = _off(np.negative(x, out=x))  # how sure each noise unit is not noise
+        down[room] = 0
+        dp = up[:, None] * own_q - (down @ noise_q)[~room]
+        rows = np.empty((n + noise.size, DIM + 1), p.dtype)
+        np.multiply(sorted_[:n], up[:, None], out=rows[:n, :DIM])
+        rows[:n, DIM] = up
+        rows[n:, :DIM] = (down.transpose(0, 2, 1) @ placed).reshape(-1, DIM)
+        rows[n:, DIM] = down.sum(1).ravel()
+        np.negative(rows[n:], out=rows[n:])
+        back = np.empty_like(dp)
+        back[order] = dp
+        return back.T, *_sums_of_some(np.r_[own, noise.ravel()], rows)
 
-    def learn_within(self, before: np.ndarray, inside: np.ndarray, units: np.ndarray, end: int, rate: float = 0.08) -> None:
-        """One step of noise-contrastive estimation of the units within their classes."""
-        classes, slots = units // SLOTS, units % SLOTS
+    def learn(self, before: np.ndarray, inside: np.ndarray, units: np.ndarray, end: int, rng: np.random.Generator, rate: float = 0.08) -> None:
+        """One step of noise-contrastive estimation over a run of words, of their classes and of units within those.
+
+        before: the CONTEXT units ahead of the run; inside: for each word, how many words of its text stand
+        before it (CONTEXT at most). Vectors are fetched and gradients summed once for the run, as the contexts of
+        neighbours are the same words shifted.
+        """
         p, kept = self._ahead(before, inside, units, end)
-        dp, gq, gb = np.zeros_like(p), np.zeros_like(self.q2), np.zeros_like(self.b2)
-        for c, at in _of_class(classes):
-            own, q, k = p[:, at], self.q2[c], np.arange(len(at))
-            x = q @ own
-            x += (self.b2[c] - self.offset2[c])[:, None]
-            x = _off(np.negative(x, out=x))  # how sure each unit is not noise
-            up = 1 - x[slots[at], k]
-            x *= (-WITHIN_NOISE * self.share[c])[:, None]
-            x[slots[at], k] += up
-            dp[:, at] = q.T @ x
-            gq[c], gb[c] = x @ own.T, x.sum(1)
-        some, gr, gc = self._back(dp, kept, end)
+        dp, gq, gb = self._against_classes(p, units // SLOTS, rng)
+        dp2, moved, g2 = self._against_units(p, units, rng)
+        some, gr, gc = self._back(dp + dp2, kept, end)
         n = len(units)
         self._move("r", gr, n, rate, some)
         self._move("c", gc, n, rate)
-        self._move("q2", gq, n, rate)
-        self._move("b2", gb, n, rate)
+        self._move("q", gq, n, rate)
+        self._move("b", gb, n, rate)
+        at = moved // SLOTS, moved % SLOTS
+        self._move("q2", g2[:, :DIM], n, rate, at)
+        self._move("b2", g2[:, DIM], n, rate, at)
 
     @staticmethod
     def _sure(x: np.ndarray, own: np.ndarray, safe: bool) -> np.ndarray:
@@ -348,19 +391,6 @@ class Model:
         return self
 
 
-def _batches(texts: Iterator[list[bytes]], size: int) -> Iterator[list[list[bytes]]]:
-    held: list[list[bytes]] = []
-    n = 0
-    for words in texts:
-        held.append(words)
-        n += len(words)
-        if n >= size:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
 def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", seed: int = 3) -> Model:
     """Each partition passes over all its words once; parameters are averaged by words."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)  # at most HEAD words
@@ -369,15 +399,13 @@ def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", seed: int = 3)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         m, rng, total = Model(v.prior, v.share, seed), np.random.default_rng(seed), 0
-        for own in _batches(([*words_of_bytes(x), END] for b in batches for x in _texts(b)), 8 * RUN * STEP):
-            sizes = np.array([len(w) for w in own])
-            _, units = v.look_up([w for o in own for w in o])
+        for _, texts in _slices(batches, SLICE):
+            sizes, codes, words = numbered(texts)
+            units = v.look_up(words)[1][codes]
             inside = np.minimum(np.arange(len(units)) - np.repeat(np.cumsum(sizes) - sizes, sizes), CONTEXT)
             ahead = np.concatenate([np.full(CONTEXT, v.end), units])
-            for a in rng.permutation(np.arange(0, len(units), RUN * STEP)).tolist():
-                for k in range(a, min(a + RUN * STEP, len(units)), STEP):
-                    m.learn(ahead[k : k + CONTEXT], inside[k : k + STEP], units[k : k + STEP], v.end, rng)
-                m.learn_within(ahead[a : a + CONTEXT], inside[a : a + RUN * STEP], units[a : a + RUN * STEP], v.end)
+            for a in rng.permutation(np.arange(0, len(units), STEP)).tolist():
+                m.learn(ahead[a : a + CONTEXT], inside[a : a + STEP], units[a : a + STEP], v.end, rng)
             total += len(units)
         if total:
             flat = m.flat()
@@ -404,29 +432,25 @@ def score(docs: DataFrame, train_on: DataFrame, id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m = shared.value
-        for b in batches:
-            ids, at = b.column(0), 0
-            for own in _batches(([*words_of_bytes(x), END] for x in _texts(b, 1)), 1 << 17):
-                sizes = np.array([len(w) for w in own])
-                starts = np.cumsum(sizes) - sizes
-                flat = [w for o in own for w in o]
-                rows, units = v.look_up(flat)
-                known = rows >= 0
-                logs = np.where(known, v.logs[rows], 0.0) if len(v.logs) else np.zeros(len(rows))
-                lp = m.log10_of(_contexts(units, starts, v.end), units)
-                classes = units // SLOTS
-                lp += np.where(units % SLOTS == SLOTS - 1, np.where(known, logs, v.unknown[classes]) - v.within[classes], 0.0)
-                lost = np.flatnonzero(~known)
-                ends = np.searchsorted(lost, np.r_[starts, len(flat)])
-                tails = [Counter([flat[k] for k in lost[a:z].tolist()]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                pairs = pa.StructArray.from_arrays([pa.array([w for t in tails for w in t], pa.binary()), pa.array([n for t in tails for n in t.values()], pa.int64())], names=["word", "n"])
-                tail = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(t) for t in tails])], pa.int32()), pairs)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(own)), pa.array(sizes, pa.int64()), pa.array(np.add.reduceat(known, starts, dtype=np.int64)),
-                     pa.array(np.add.reduceat(logs, starts)), pa.array(np.add.reduceat(lp, starts)), tail],
-                    names=["id", "n_tokens", "known", "logs", "lp", "tail"],
-                )
-                at += len(own)
+        for b, texts in _slices(batches, SLICE, 1):
+            sizes, codes, words = numbered(texts)
+            starts = np.cumsum(sizes) - sizes
+            rows, units = (x[codes] for x in v.look_up(words))
+            known = rows >= 0
+            logs = np.where(known, v.logs[rows], 0.0) if len(v.logs) else np.zeros(len(rows))
+            context, classes = _contexts(units, starts, v.end), units // SLOTS
+            lp = np.concatenate([m.log10_of(context[k : k + LINE], units[k : k + LINE]) for k in range(0, len(units), LINE)])
+            lp += np.where(units % SLOTS == SLOTS - 1, np.where(known, logs, v.unknown[classes]) - v.within[classes], 0.0)
+            # words beyond the head, each once for its text
+            lost = np.flatnonzero(~known)
+            of, n = np.unique(np.repeat(np.arange(len(sizes)), sizes)[lost] * len(words) + codes[lost], return_counts=True)
+            pairs = pa.StructArray.from_arrays([words.take(pa.array(of % len(words))), pa.array(n, pa.int64())], names=["word", "n"])
+            tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(of // len(words), np.arange(len(sizes) + 1)), pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(sizes, pa.int64()), pa.array(np.add.reduceat(known, starts, dtype=np.int64)),
+                 pa.array(np.add.reduceat(logs, starts)), pa.array(np.add.reduceat(lp, starts)), tail],
+                names=["id", "n_tokens", "known", "logs", "lp", "tail"],
+            )
 
     passed = docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t")).mapInArrow(run, "id bigint, n_tokens bigint, known bigint, logs double, lp double, tail array<struct<word:binary,n:bigint>>")
     passed = written(passed.withColumn("row", F.monotonically_increasing_id()))  # written once, so a row keeps its number

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .piece_tokens import PieceTokenizer
 from .rans import BLOCK, Table, decode, encode
-from .shared import shared_dir, written
+from .shared import shared_dir, slices, written
 
 MAGIC = b"WEIRTOK1"
 #: Ids that a file is meant to hold.
@@ -79,16 +79,12 @@ def token_ids(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text"
         counts = np.zeros(max(t.size, (end or 0) + 1), np.int64)
         for b in batches:
             texts = pc.fill_null(b.column(1), "")
-            bytes_ = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
-            at = 0
-            while at < len(texts):
-                to = max(at + 1, int(np.searchsorted(bytes_, (bytes_[at - 1] if at else 0) + SLICE, "right")))
+            for at, to in slices(texts, SLICE):
                 n, ids = t.encode_all(texts.slice(at, to - at), end)
                 counts += np.bincount(ids, minlength=len(counts))
                 ends = np.r_[0, np.cumsum(n)] * t.dtype.itemsize
                 rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(n, pa.int64()), rows.cast(pa.binary()), pa.nulls(len(n), pa.binary())], names=_IDS)
-                at = to
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=_IDS)
 
