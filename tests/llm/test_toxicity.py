@@ -55,6 +55,28 @@ def test_held_out_accuracy_and_odd_texts(spark):
     assert all(0 <= s.score <= 1 and s.predicted == int(s.score >= 0.5) for s in got.values())
 
 
+def test_a_very_long_text_beside_short_ones_is_read_in_bounded_memory():
+    texts, labels = sample(random.Random(3), 60)
+    net = t.train([x.encode() for x in texts], np.array(labels), epochs=1)
+    scorer, sizes, run = t.Scorer(net), [], net.run
+    net.run = lambda gates, mask, keep=None: sizes.append(gates.size) or run(gates, mask, keep)
+    long_ = b"wort1 wort2 " * 500_000
+    got = scorer.score([b"wort1", long_ + b"scumbag!", b"", b"wort2 wort3"])
+    assert max(sizes) <= 2 * t.CHUNK * 6 * t.HIDDEN
+    assert got.tolist() == [scorer.score([x])[0] for x in (b"wort1", long_ + b"scumbag!", b"", b"wort2 wort3")]
+    assert len(scorer.score([])) == 0
+
+
+def test_repeated_ids_and_columns_with_clashing_names(spark):
+    texts, labels = sample(random.Random(4), 30)
+    docs = spark.createDataFrame([(i, x, "a", "b") for i, x in enumerate(texts)] + [(3, "zz", None, None), (None, "x", "a", None)], "doc_id bigint, text string, `a.b` string, predicted string")
+    marked = spark.createDataFrame([(i, y) for i, y in enumerate(labels)] + [(3, 1), (None, 1), (4, None)], "doc_id bigint, toxic int")
+    one, two = t.train_on(docs, marked), t.train_on(docs.repartition(3), marked.repartition(2))
+    assert all((one.p[k] == two.p[k]).all() for k in one.p)
+    got = t.score(docs, one)
+    assert got.columns == [*docs.columns, "toxicity"] and got.count() == 32
+
+
 def test_every_word_is_in_a_window():
     for n in range(200):
         w = t.windows(n)

@@ -46,7 +46,7 @@ NOISE, WITHIN_NOISE, STEP, SCORE_STEP = 48, 16, 2048, 768
 #: Words of a class that share noise units.
 BLOCK = 16
 #: Bytes of texts whose words are numbered at once, in counting and in reading them; words that are scored at once.
-COUNTED, SLICE, LINE = 1 << 25, 1 << 23, 1 << 17
+COUNTED, SLICE, LINE = 1 << 24, 1 << 22, 1 << 17
 #: Parameters that a row holds while models are averaged.
 ROW = 64
 

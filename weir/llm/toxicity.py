@@ -3,35 +3,34 @@
 A word enters as its own vector (of a vocabulary from the training rows) joined to the mean of the vectors
 of its hashed character trigrams. Windows of WINDOW words, each overlapping the last by half, are read in
 both directions; attention weighs the states; the text's score is that of its worst window. Every window of
-every text is scored.
+every text is scored, CHUNK words at a time, however long a text is.
 
-Training takes a bounded sample of labelled rows (SAMPLE_ROWS, each of at most SAMPLE_BYTES) on the driver:
-the one place where a bound drops rows. It learns from the text alone. The first entry of each vector begins
-as the log odds of the word or trigram in the sample, which spares most of the training.
+Training takes a bounded sample of labelled rows, SAMPLE_ROWS of them and their whole texts, on the driver. It
+learns from the text alone. The first entry of each vector begins as the log odds of the word or trigram in the
+sample, which spares most of the training.
 
 Defined cases: a null, empty or wordless text is one empty window and gets that window's score; repeated
-rows are scored alike; without labelled rows of both kinds every score is 0.5 less a trifle; an empty table
-gives an empty table; columns called like the result are replaced.
+rows are scored alike; an id with several texts or labels is sampled with the least text and the greater label;
+rows without an id are never sampled; without labelled rows of both kinds every score is 0.5 less a trifle; an
+empty table gives an empty table; columns called like the result are replaced, and all others pass through
+whatever they are called.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .shared import fresh
+from .shared import with_result
 
 SAMPLE_ROWS = 3_000
-SAMPLE_BYTES = 12_000
 WINDOW, STRIDE = 32, 16
-HIDDEN, WORD_DIM, CHAR_DIM, TRIGRAMS, VOCABULARY = 8, 8, 8, 8192, 20_000
+HIDDEN, WORD_DIM, CHAR_DIM, TRIGRAMS, VOCABULARY = 12, 8, 8, 8192, 20_000
 #: Words whose inputs a worker holds, and words that are read at once.
 HELD, CHUNK = 250_000, 60_000
 
@@ -208,36 +207,40 @@ class Scorer:
             out.append(self.net.run(self.table[at[i]], mask))
         return np.concatenate(out)
 
+    def _worst(self, docs: list[list[bytes]]) -> np.ndarray:
+        """The logit of the worst window of each of some texts, of CHUNK words together unless one is longer."""
+        if len(docs) == 1:
+            return self.window_logits(docs[0]).max(keepdims=True)
+        spans, owner, all_ = [], [], []
+        for j, own in enumerate(docs):
+            s = windows(len(own))
+            spans += [(a + len(all_), b + len(all_)) for a, b in s]
+            owner += [j] * len(s)
+            all_ += own
+        at = self._at(all_) if all_ else np.zeros(1, np.int64)
+        i, mask = _laid(spans)
+        worst = np.full(len(docs), -np.inf)
+        np.maximum.at(worst, np.array(owner), self.net.run(self.table[at[i]], mask))
+        return worst
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         """The logit of each text's worst window."""
-        out = np.zeros(len(texts))
+        out: list[np.ndarray] = []
         held: list[list[bytes]] = []
-        first = n = 0
-        for k, t in enumerate(texts):
+        n = 0
+        for t in texts:
             w = words_of_bytes(t)
+            if held and n + len(w) > CHUNK:
+                out.append(self._worst(held))
+                held, n = [], 0
             held.append(w)
             n += len(w)
-            if n >= CHUNK or k + 1 == len(texts):
-                if len(held) == 1:
-                    out[k] = self.window_logits(w).max()
-                else:
-                    spans, owner, all_ = [], [], []
-                    for j, own in enumerate(held):
-                        s = windows(len(own))
-                        spans += [(a + len(all_), b + len(all_)) for a, b in s]
-                        owner += [j] * len(s)
-                        all_ += own
-                    at = self._at(all_) if all_ else np.zeros(1, np.int64)
-                    i, mask = _laid(spans)
-                    logit = self.net.run(self.table[at[i]], mask)
-                    worst = np.full(len(held), -np.inf)
-                    np.maximum.at(worst, np.array(owner), logit)
-                    out[first : k + 1] = worst
-                held, first, n = [], k + 1, 0
-        return out
-
-
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = 3, seed: int = 1) -> Network:
+        if held:
+            out.append(self._worst(held))
+        return np.concatenate(out).astype(np.float64) if out else np.zeros(0)
+
+
+def train(texts: list[bytes], labels: np.ndarray, epochs: int = 4, seed: int = 1) -> Network:
     """By the loss of each text's worst window."""
     docs = [words_of_bytes(t) for t in texts]
     n = np.array([(labels == 0).sum(), (labels == 1).sum()]) + 1.0
@@ -300,28 +303,24 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 3, seed: int = 1
 
 def train_on(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Network:
     """From at most `rows` labelled rows, half of them toxic if there are as many, picked by a hash of the id."""
-    wanted = labels.select(F.col(id).cast("bigint").alias("i"), F.col(label).cast("int").alias("y")).where("i IS NOT NULL AND y IN (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
+    wanted = labels.select(F.col(f"`{id}`").cast("bigint").alias("i"), F.col(f"`{label}`").cast("int").alias("y")).where("i IS NOT NULL AND y IN (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
     picked = [wanted.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(rows // 2) for y in (0, 1)]
     ids = picked[0].union(picked[1])
-    found = docs.where(F.octet_length(text) <= SAMPLE_BYTES).select(F.col(id).cast("bigint").alias("i"), F.col(text).alias("t")).join(F.broadcast(ids), "i")  # at most `rows` rows
-    got = sorted(found.dropDuplicates(["i"]).collect(), key=lambda r: r.i)
+    named = docs.select(F.col(f"`{id}`").cast("bigint").alias("i"), F.col(f"`{text}`").alias("t"))
+    found = named.where("t IS NOT NULL").join(F.broadcast(ids), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y"))  # at most `rows` rows
+    got = sorted(found.collect(), key=lambda r: r.i)
     return train([r.t.encode() for r in got], np.array([r.y for r in got], np.int64))
 
 
 def score(docs: DataFrame, network: Network, text: str = "text", into: str = "toxicity", keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of docs (all, by default) with a struct `into`: score and predicted."""
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() != into.lower()]
-    chosen = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(fresh(docs, "_tox_text")))
     shared = docs.sparkSession.sparkContext.broadcast(network)  # of fixed size
     held: dict[str, Scorer] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array) -> pa.Array:
         scorer = held.get("x") or held.setdefault("x", Scorer(shared.value))
-        for b in batches:
-            texts = [x or b"" for x in b.column(b.num_columns - 1).cast(pa.large_binary()).to_pylist()]
-            s = 1 / (1 + np.exp(-np.clip(scorer.score(texts), -500, 500)))
-            made = pa.StructArray.from_arrays([pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["score", "predicted"])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], names=[*names, into])
-
-    schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema.add(into, StructType.fromDDL("score double, predicted int"))
-    return chosen.mapInArrow(run, schema)
+        s = 1 / (1 + np.exp(-np.clip(scorer.score([x or b"" for x in texts.cast(pa.large_binary()).to_pylist()]), -500, 500)))
+        return pa.StructArray.from_arrays([pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["score", "predicted"])
+
+    return with_result(docs, F.col(f"`{text}`"), names, run, into, "score double, predicted int")
