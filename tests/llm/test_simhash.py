@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from weir.llm.simhash import near_duplicates, one_of_each
@@ -41,9 +42,18 @@ def test_equals_brute_force(spark):
     assert len(got) == len(rows)
 
 
-def test_linked_fingerprints_are_found_whatever_bits_differ(spark, monkeypatch):
+def test_two_ways_of_postings_cover_every_pair_of_bytes():
     import weir.llm.simhash as s
 
+    assert len(s.KEYS) == 6 and len(s.FREE) == 28 and all(not set(s.KEYS[s.WITHIN[k]]) & set(f) for k, f in enumerate(s.FREE))
+
+
+@pytest.mark.parametrize("crowd", [512, 3])
+def test_linked_fingerprints_are_found_whatever_bits_differ(spark, monkeypatch, crowd):
+    import weir.llm.simhash as s
+
+    monkeypatch.setattr(s, "CROWD", crowd)
+    monkeypatch.setattr(s, "HOT", 50)
     rng = random.Random(1)
     fps = [(i, rng.getrandbits(64) - 2**63) for i in range(40)]
     for i, f in list(fps):
@@ -55,8 +65,11 @@ def test_linked_fingerprints_are_found_whatever_bits_differ(spark, monkeypatch):
             fps.append((100 + 10 * i + k, v - 2**64 if v >> 63 else v))
     # a dense posting: many values of the same two bytes
     fps += [(1000 + i, i) for i in range(700)]
+    fps += [(5000 + i, fps[0][1]) for i in range(60)]  # a hot one
     monkeypatch.setattr(s, "fingerprints", lambda d, *_: d)
-    got = {r.id: r.component for r in s.near_duplicates(spark.createDataFrame(fps, "id bigint, fp bigint")).collect()}
+    rows = s.near_duplicates(spark.createDataFrame(fps, "id bigint, fp bigint")).collect()
+    got = {r.id: r.component for r in rows}
+    assert len(rows) == len(fps)
     up = {i: i for i, _ in fps}
 
     def top(i):

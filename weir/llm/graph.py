@@ -15,9 +15,9 @@ def _state(edges: DataFrame) -> tuple:
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for each node with a link to another node; root is the least node that it reaches.
 
-    Each round replaces the links of every node by links to its least neighbour, so hubs never gather
-    their neighbours in one place: only minima are taken. Rounds are written to the shared folder and
-    end once a round changes nothing.
+    Each round replaces the links of every node by links to its least neighbour. Of a hub's neighbours only the
+    minimum is taken, in an aggregation with partial minima; the join that follows streams them, and adaptive
+    execution splits a hub's rows. Rounds are written to the shared folder and end once a round changes nothing.
     """
     links = links.where(F.col(a) != F.col(b))
     edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())

@@ -1,16 +1,21 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
-A fingerprint is eight bytes, each a token (position, value). Two fingerprints that differ in at most
-two bits differ in at most two bytes, so they share at least six positional bytes: that is the
-guaranteed minimum of the count filter. A posting for each single byte would be read by N / 256
-fingerprints and tally N^2 pairs, so the index has a posting for each set of six positional bytes:
-whoever meets there has reached the minimum. Fingerprints are distinct before they are indexed, so a
-posting has at most 65,536 members (two free bytes) whatever the number of rows, and members are
-matched by table look-ups of the 136 near values instead of pair by pair.
+A fingerprint is eight bytes, each a token (position, value). Two fingerprints that differ in at most two bits
+differ in at most two bytes, so they share at least six tokens: the guaranteed minimum of the count filter. A
+posting for each single token would be read by N / 256 fingerprints, so the index joins four tokens to a key:
+the positions lie in four pairs, two differing bytes spoil two pairs at most, and whoever shares six tokens meets
+in one of the six postings that are keyed by two whole pairs. There the shared tokens of each two members are
+tallied, those that reach the minimum are kept, and their bits are compared.
+
+Fingerprints are distinct before they are indexed, but near copies crowd: a posting of more than CROWD members
+is not tallied. Its members go on to postings keyed by six tokens, where meeting is the minimum and two free
+bytes are left, so there are 65,536 members at most whatever the number of rows; they are matched by look-ups
+of the 136 near values. Either way a posting gives a spanning set of its links, never all pairs of a group.
 
 Defined cases: a null, empty or blank text has fingerprint zero and is linked like any other; fewer
-than three words are one shingle; repeated rows have one fingerprint; a null id is never a component's
-id unless all ids are null; other columns are not read; an empty table gives an empty table.
+than three words are one shingle; a very long text is read whole, CHUNK shingles at a time; repeated rows have one
+fingerprint; a null id is never a component's id unless all ids are null; other columns are not read, whatever
+they are called; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,8 +38,17 @@ DISTANCE = 2
 BYTES = 8
 #: Shared positional bytes that a link guarantees.
 LEAST_SHARED = BYTES - DISTANCE
-#: For each posting kind, the positions that are not part of its key.
+#: Pairs of positions, two of which make the key of a posting that is tallied.
+PAIRS = [(p, p + 1) for p in range(0, BYTES, 2)]
+KEYS = [x + y for x, y in combinations(PAIRS, 2)]
+#: Members of a posting that are tallied against each other.
+CROWD = 512
+#: For each kind of posting of six tokens, the positions that are not part of its key.
 FREE = list(combinations(range(BYTES), DISTANCE))
+#: The kind of four tokens whose crowded postings each kind of six takes over.
+WITHIN = [next(k for k, key in enumerate(KEYS) if not set(key) & set(free)) for free in FREE]
+#: A fingerprint of more than one row in so many is joined apart from the others.
+HOT = 1000
 CHUNK = 16_384
 
 
@@ -86,20 +100,10 @@ def _verified(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (_shared_bytes(x) >= LEAST_SHARED) & (np.bitwise_count(x.view(np.uint64)) <= DISTANCE)
 
 
-def _links_of_posting(members: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of the links among distinct fingerprints that agree in all but two bytes."""
-    raw = np.ascontiguousarray(members).view(np.uint8).reshape(-1, BYTES)
-    i, j = FREE[kind]
-    value = raw[:, i].astype(np.int64) | raw[:, j].astype(np.int64) << 8
-    at = np.full(1 << 16, -1, np.int64)
-    at[value] = np.arange(len(value))
-    label = np.arange(len(value))
-    near = []
-    for d in _NEAR:
-        other = at[value ^ d]
-        k = np.flatnonzero(other >= 0)
-        if len(k):
-            near.append((k, other[k]))
+def _forest(n: int, near: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between n members, given both ways, a spanning set: each member but one of a component, and another
+    that was met before it."""
+    label = np.arange(n)
     while True:
         new = label.copy()
         for k, o in near:
@@ -108,8 +112,8 @@ def _links_of_posting(members: np.ndarray, kind: int) -> tuple[np.ndarray, np.nd
         if (new == label).all():
             break
         label = new
-    parent = np.full(len(value), -1, np.int64)  # towards a neighbour met first, from the component's least member on
-    parent[label == np.arange(len(value))] = -2
+    parent = np.full(n, -1, np.int64)  # towards a neighbour met first, from the component's least member on
+    parent[label == np.arange(n)] = -2
     todo = True
     while todo:
         todo = False
@@ -120,8 +124,37 @@ def _links_of_posting(members: np.ndarray, kind: int) -> tuple[np.ndarray, np.nd
                 parent[k[take]] = o[take]
                 todo = True
     k = np.flatnonzero(parent >= 0)
-    ok = _verified(members[k], members[parent[k]])
-    return members[k][ok], members[parent[k]][ok]
+    return k, parent[k]
+
+
+def _tallied(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the links among the members of a posting, by how many tokens each two share."""
+    raw = np.ascontiguousarray(members).view(np.uint8).reshape(-1, BYTES)
+    shared = np.zeros((len(raw), len(raw)), np.uint8)
+    for p in range(BYTES):
+        shared += raw[:, p, None] == raw[None, :, p]
+    i, j = np.nonzero(shared >= LEAST_SHARED)
+    linked = (i != j) & (np.bitwise_count((members[i] ^ members[j]).view(np.uint64)) <= DISTANCE)
+    k, o = _forest(len(members), [(i[linked], j[linked])])
+    return members[k], members[o]
+
+
+def _links_of_posting(members: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the links among distinct fingerprints that agree in all but two bytes."""
+    raw = np.ascontiguousarray(members).view(np.uint8).reshape(-1, BYTES)
+    i, j = FREE[kind]
+    value = raw[:, i].astype(np.int64) | raw[:, j].astype(np.int64) << 8
+    at = np.full(1 << 16, -1, np.int64)
+    at[value] = np.arange(len(value))
+    near = []
+    for d in _NEAR:
+        other = at[value ^ d]
+        k = np.flatnonzero(other >= 0)
+        if len(k):
+            near.append((k, other[k]))
+    k, o = _forest(len(value), near)
+    ok = _verified(members[k], members[o])
+    return members[k][ok], members[o][ok]
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +167,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ok = _verified(fp[two], fp[two + 1]) if len(two) else np.zeros(0, bool)
         a, b = [fp[two][ok]], [fp[two + 1][ok]]
         for s, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            x, y = _links_of_posting(fp[s : s + n], int(kind[s]))
+            own = fp[s : s + n]
+            x, y = _tallied(own) if kind[s] < len(KEYS) else _links_of_posting(own, int(kind[s]) - len(KEYS))
             a.append(x)
             b.append(y)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
@@ -153,20 +187,35 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(*held)
 
 
+def _mask(positions: tuple[int, ...] | set[int]) -> Column:
+    m = sum(0xFF << 8 * p for p in positions)
+    return F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint")
+
+
 def index(nodes: DataFrame) -> DataFrame:
-    """The postings: (kind, key, fp) for each distinct fingerprint and set of six positions."""
-    masks = []
-    for free in FREE:
-        m = sum(0xFF << 8 * p for p in range(BYTES) if p not in free)
-        masks.append(m - (1 << 64) if m >> 63 else m)
-    kinds = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("kind"), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).alias("key")) for k, m in enumerate(masks)])
+    """The postings of four tokens: (kind, key, fp)."""
+    kinds = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("kind"), F.col("fp").bitwiseAND(_mask(key)).alias("key")) for k, key in enumerate(KEYS)])
     return nodes.select("fp", F.explode(kinds).alias("p")).select("p.kind", "p.key", "fp")
 
 
+def _finer(crowded: DataFrame) -> DataFrame:
+    """Members of crowded postings of four tokens in those postings of six that take these over."""
+    own = [F.struct(F.lit(len(KEYS) + k).cast("tinyint").alias("kind"), F.col("fp").bitwiseAND(_mask(set(range(BYTES)) - set(free))).alias("key")) for k, free in enumerate(FREE)]
+    of = None
+    for kind in range(len(KEYS)):
+        mine = F.array(*[own[k] for k in range(len(FREE)) if WITHIN[k] == kind])
+        of = F.when(F.col("kind") == kind, mine) if of is None else of.when(F.col("kind") == kind, mine)
+    return crowded.select("fp", F.explode(of).alias("p")).select("p.kind", "p.key", "fp")
+
+
 def _roots(nodes: DataFrame) -> DataFrame:
     """nodes with the least fingerprint (root) of each one's component."""
-    postings = index(nodes.select("fp")).repartition("kind", "key").sortWithinPartitions("kind", "key")
-    links = postings.mapInArrow(_links, "a bigint, b bigint")
+    postings = index(nodes.select("fp"))
+    crowds = written(postings.groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("kind", "key"))
+    if not crowds.isEmpty():
+        finer = _finer(postings.join(crowds, ["kind", "key"], "left_semi"))
+        postings = postings.join(crowds, ["kind", "key"], "left_anti").union(finer)
+    links = postings.repartition("kind", "key").sortWithinPartitions("kind", "key").mapInArrow(_links, "a bigint, b bigint")
     root = components(links, "a", "b").select(F.col("node").alias("fp"), "root")
     return nodes.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
@@ -177,8 +226,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     nodes = written(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     rooted = _roots(nodes)
     least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-    found = rooted.join(least, "root").select("fp", "component", "copies")
-    return fps.join(found, "fp").select("id", "fp", "component", "copies")
+    found = written(rooted.join(least, "root").select("fp", "component", "copies"))
+    rows = found.agg(F.sum("copies")).first()[0] or 0
+    hot = F.broadcast(found.where(F.col("copies") > rows // HOT))  # fewer than HOT of them hold as many rows each
+    rest = fps.join(hot.select("fp"), "fp", "left_anti").join(found, "fp")
+    return fps.join(hot, "fp").unionByName(rest).select("id", "fp", "component", "copies")
 
 
 def _digest(text: Column) -> Column:
