@@ -2,6 +2,7 @@ import hashlib
 import random
 from fractions import Fraction
 
+import pytest
 from pyspark.sql import functions as F
 
 from weir.llm.mixing import mix
@@ -15,7 +16,9 @@ def deal(children, given):
         name = min(rest, key=lambda n: (rest[n][1] / rest[n][0], n))
         w, cap = rest[name]
         if Fraction(cap) > Fraction(w * left, total):
-            return out | {n: w * left // total for n, (w, _) in rest.items()}
+            own = {n: divmod(w * left, total) for n, (w, _) in rest.items()}
+            more = sorted(own, key=lambda n: (-own[n][1], n))[: left - sum(q for q, _ in own.values())]
+            return out | {n: q + (n in more) for n, (q, _) in own.items()}
         out[name] = cap
         left -= cap
         del rest[name]
@@ -71,6 +74,27 @@ def test_equals_brute_force(spark):
             assert sum(v for k, v in budgets.items() if len(k) == 3) > 0
 
 
+def test_budgets_are_met_to_the_token(spark):
+    rows = [(i, "d", f"l{i % 7}", f"s{i % 3}", "w " * 100) for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, domain string, lang string, source string, text string")
+    got = mix(docs, {k: F.col(k) for k in ("domain", "lang", "source")}, {}, 1000, epochs=1).collect()
+    assert sum(r.mix.last_tokens for r in got) == 1000
+
+
+@pytest.mark.parametrize("rows_", [0, 3])
+def test_many_leaves_are_joined_alike(spark, monkeypatch, rows_):
+    """Beyond the bound on what is broadcast, with a hot leaf and cool ones; columns are called like the join's own."""
+    import weir.llm.shared as s
+
+    rows = [(i, "d", "l", "hot" if i % 2 else f"s{i % 40}", "w " * (i % 9), "x", "y") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, domain string, lang string, source string, text string, rows string, `_mix_rows` string")
+    path = {k: F.col(k) for k in ("domain", "lang", "source")}
+    want = sorted(mix(docs, path, {}, (1, 2)).collect())
+    monkeypatch.setattr(s, "BROADCAST_ROWS", rows_)
+    monkeypatch.setattr(s, "HOT", 10)
+    assert sorted(mix(docs, path, {}, (1, 2)).collect()) == want and len(want) == 400
+
+
 def test_shortage_goes_to_siblings_before_ancestors(spark):
     rows = [(1, "a", "x", "s", "w " * 10), (2, "a", "y", "s", "w " * 100), (3, "b", "x", "s", "w " * 100)]
     docs = spark.createDataFrame(rows, "doc_id bigint, domain string, lang string, source string, text string")

@@ -4,14 +4,16 @@ Documents are leaves' tokens; leaves hang in a tree (here domain, language, sour
 dealt among its children in proportion to their weights, as far as each child's capacity (its tokens times
 the epochs allowed) goes; what a short child leaves is dealt among its siblings by the same rule. As a
 child's capacity is that of its whole subtree, a shortage reaches an ancestor's siblings only when all
-nearer ones are full. All of it is whole-number arithmetic over one row for each node, in windows.
+nearer ones are full. All of it is whole-number arithmetic over one row for each node, in windows of a node's
+children; tokens that are left over go to the largest remainders, so a budget is met to the token.
 
 A leaf of budget b and t tokens gives b div t whole epochs and a prefix of one more, in which documents lie
 in the order of md5(seed:epoch:id). The prefix's last document is found by sums over 4096 ranges of that
-order and then within one range, so no leaf, however hot, is ever sorted or summed in one task.
+order and then within one range, so no leaf, however hot, is ever sorted or summed in one task. Leaves are
+broadcast to their documents while they are few; beyond that only hot ones are.
 
 Defined cases: a null path value is a node called "(none)"; a null or empty text has no tokens and is not
-drawn; documents of one leaf and id stand at one place and are drawn together; a weight of 0 closes a
+drawn; a very long one is one document, which stays whole at the border of a budget; documents of one leaf and id stand at one place and are drawn together; a weight of 0 closes a
 subtree; a budget beyond all capacity takes every epoch of everything; an empty table gives an empty table;
 columns called like the result are replaced.
 """
@@ -23,7 +25,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh, words_of, written
+from .shared import fresh, joined_evenly, words_of, written
 
 #: Hex digits of the order that make a range: 16**3 ranges.
 DIGITS = 3
@@ -55,10 +57,13 @@ def _deal(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     full = full.withColumn("_full", _big(F.col("cap")) * _big(F.col("_w")) <= _big(F.col("w")) * _big(F.col("given") - F.col("_c")))
     taken = F.coalesce(F.sum(F.when(F.col("_full"), F.col("cap"))).over(group), F.lit(0))
     rest = F.sum(F.when(~F.col("_full"), F.col("w"))).over(group)
-    exact = F.expr("CAST((CAST(w AS DECIMAL(19,0)) * CAST(_left AS DECIMAL(19,0))) DIV CAST(_rest AS DECIMAL(19,0)) AS BIGINT)")
-    return (
-        full.withColumn("_left", F.col("given") - taken).withColumn("_rest", rest).withColumn("b", F.when(F.col("_full"), F.col("cap")).otherwise(exact)).drop("_c", "_w", "_full", "_left", "_rest")
-    )
+    full = full.withColumn("_left", F.col("given") - taken).withColumn("_rest", rest)
+    whole = F.expr("CAST((CAST(w AS DECIMAL(19,0)) * CAST(_left AS DECIMAL(19,0))) DIV CAST(_rest AS DECIMAL(19,0)) AS BIGINT)")
+    over = F.expr("(CAST(w AS DECIMAL(19,0)) * CAST(_left AS DECIMAL(19,0))) % CAST(_rest AS DECIMAL(19,0))")
+    full = full.withColumn("_b", F.when(F.col("_full"), F.col("cap")).otherwise(whole)).withColumn("_over", F.when(~F.col("_full"), over))
+    by_rest = (Window.partitionBy(*parent, "_full") if parent else Window.partitionBy("_full")).orderBy(F.desc("_over"), name)
+    more = ~F.col("_full") & (F.row_number().over(by_rest) <= F.col("_left") - F.sum(F.when(~F.col("_full"), F.col("_b"))).over(group))
+    return full.withColumn("b", F.col("_b") + F.coalesce(more, F.lit(False)).cast("bigint")).drop("_c", "_w", "_full", "_left", "_rest", "_b", "_over")
 
 
 def leaf_budgets(leaves: DataFrame, path: list[str], weights: Mapping[tuple[str, ...], int], budget: tuple[int, int] | int, epochs: int) -> DataFrame:
@@ -87,14 +92,13 @@ def mix(
     nodes = {k: F.coalesce(v.cast("string"), F.lit("(none)")) for k, v in path.items()}
     count = word_tokens(F.col(f"`{text}`")) if tokens is None else tokens
     narrow = written(docs.select(*[v.alias(k) for k, v in nodes.items()], F.col(f"`{id}`").cast("string").alias("id"), count.alias("tokens")))
-    leaves = narrow.groupBy(*names).agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
-    leaves = written(
-        leaf_budgets(leaves, names, weights, budget, epochs).select(
-            *names, F.expr("b DIV tokens").alias("whole"), F.expr("b % tokens").alias("rest")
-        )
-    )
+    leaves = narrow.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).where("tokens > 0")
+    budgets = leaf_budgets(leaves, names, weights, budget, epochs)
+    leaves = written(budgets.select(*names, F.expr("b DIV tokens").alias("whole"), F.expr("b % tokens").alias("rest"), "rows"))
     place = lambda whole, i: F.md5(F.concat(F.lit(f"{seed}:"), whole.cast("string"), F.lit(":"), F.coalesce(i, F.lit(""))).cast("binary"))
-    placed = narrow.where("tokens > 0").join(leaves.where("rest > 0"), names).withColumn("place", place(F.col("whole"), F.col("id"))).withColumn("range", F.substring("place", 1, DIGITS))
+    open_ = leaves.where("rest > 0").withColumnsRenamed({k: f"_{k}" for k in names})
+    placed = joined_evenly(narrow.where("tokens > 0"), open_, {f"_{k}": F.col(k) for k in names}, "rows").drop(*open_.columns[: len(names)])
+    placed = placed.withColumn("place", place(F.col("whole"), F.col("id"))).withColumn("range", F.substring("place", 1, DIGITS))
     sums = placed.groupBy(*names, "range").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
     w = Window.partitionBy(*names).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     border = sums.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where("before < rest AND rest <= before + n").select(*names, "range", "before")
@@ -104,17 +108,14 @@ def mix(
     last = last.groupBy(*names).agg(F.max(F.struct("place", "start")).alias("last"))
     cut = leaves.join(last, names, "left")
 
-    own = {k: fresh(docs, f"_mix_{k}") for k in [*names, "whole", "rest", "last"]}
+    own = {k: fresh(docs, f"_mix_{k}") for k in [*names, "whole", "rest", "last", "rows"]}
     cut = cut.select(*[F.col(k).alias(own[k]) for k in own])
     keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() != into.lower()]
     here = fresh(docs, "_mix_here")
     # the counts are needed once more only to say what the border document gives
     joined = docs.withColumn(here, F.struct(*[v.alias(k) for k, v in nodes.items()], count.alias("tokens"), F.col(f"`{id}`").cast("string").alias("id")))
     at = F.col(here)
-    match = F.lit(True)
-    for k in names:
-        match = match & (at[k] == F.col(own[k]))
-    joined = joined.join(cut, match, "left")
+    joined = joined_evenly(joined, cut, {own[k]: at[k] for k in names}, own["rows"], "left")
     whole, rest, last = F.coalesce(F.col(own["whole"]), F.lit(0)), F.col(own["rest"]), F.col(own["last"])
     p = place(whole, at["id"])
     drawn = F.coalesce((at["tokens"] > 0) & (p <= last["place"]), F.lit(False))

@@ -57,10 +57,13 @@ nodes{n} AS (
   WINDOW before AS ({part} ORDER BY cap::DOUBLE / w::DOUBLE, {levels[n - 1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), judged{n} AS (
   SELECT *, cap * v <= w * (given - c) AS filled FROM ranked{n}
+), shared{n} AS (
+  SELECT *, CAST(given - coalesce(sum(cap) FILTER (WHERE filled) OVER ({part}), 0) AS HUGEINT) AS room, CAST(sum(w) FILTER (WHERE NOT filled) OVER ({part}) AS HUGEINT) AS parts FROM judged{n}
+), floors{n} AS (
+  SELECT *, CASE WHEN filled THEN cap ELSE w * room // parts END AS b, CASE WHEN NOT filled THEN w * room % parts END AS over_ FROM shared{n}
 ), given{n} AS (
-  SELECT {on}, CASE WHEN filled THEN cap ELSE CAST(w * (given - coalesce(sum(cap) FILTER (WHERE filled) OVER ({part}), 0)) AS HUGEINT)
-         // CAST(sum(w) FILTER (WHERE NOT filled) OVER ({part}) AS HUGEINT) END AS given
-  FROM judged{n}
+  SELECT {on}, b + CASE WHEN NOT filled AND row_number() OVER (PARTITION BY {up + ", " if up else ""}filled ORDER BY over_ DESC, {levels[n - 1]}) <= room - sum(b) FILTER (WHERE NOT filled) OVER ({part}) THEN 1 ELSE 0 END AS given
+  FROM floors{n}
 )""")
     return f"""
 WITH d AS (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,27 @@ def with_result(docs: DataFrame, text: Column, names: list[str], run: Callable[[
     return chosen.mapInArrow(each, schema).toDF(*names, into)
 
 
+#: Rows of a table that is broadcast; and a key of more than one row in HOT is joined apart from the others.
+BROADCAST_ROWS, HOT = 200_000, 1_000
+
+
+def joined_evenly(left: DataFrame, right: DataFrame, keys: dict[str, Column], weight: str, how: str = "inner") -> DataFrame:
+    """left with the row of right that has its keys: keys maps right's columns, not null, to expressions over left.
+
+    right is a small row for each key and says in `weight` how many rows of left have it. Up to BROADCAST_ROWS
+    rows it is broadcast. Beyond, only the keys that more than one row in HOT has are: fewer than HOT. All other
+    rows are shuffled, and no key holds a task up.
+    """
+    match = lambda r: reduce(Column.__and__, [r[k] == v for k, v in keys.items()])
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), match(right), how).drop(weight)
+    rows = right.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(right.where(F.col(weight) > rows // HOT))
+    cool = right.where(F.col(weight) <= rows // HOT)
+    rest = left.join(hot, match(hot), "left_anti").join(cool, match(cool), how)
+    return left.join(hot, match(hot)).unionByName(rest).drop(weight)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     have = {c.lower() for c in df.columns}
