@@ -39,3 +39,16 @@ def test_many_sites_beyond_the_band(spark):
     got = {r.doc_id: r.text for r in without_boilerplate(docs, 150).collect()}
     assert got == {i: f"own {i}" for i in range(300)}
     assert without_boilerplate(docs.limit(0), 3).count() == 0
+
+
+def test_copies_of_a_hot_text_are_dealt_over_tasks(spark, monkeypatch):
+    import weir.llm.lines as m
+
+    monkeypatch.setattr(m, "HOT", 4)
+    rows = [(i, f"s{i % 9}", "hot line\nthe same in all\nhot line") for i in range(200)] + [(200 + i, f"s{i}", f"hot line\nown {i}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string").selectExpr("*", "1 AS `a.b`", "2 AS salt", "3 AS k0").repartition(7)
+    got = without_boilerplate(docs, 9)
+    assert got.columns == ["doc_id", "source", "text", "a.b", "salt", "k0", "lines"]
+    got = got.collect()
+    assert sorted([(r.doc_id, r.text, r.lines.n_lines, r.lines.n_removed) for r in got], key=str) == brute(rows, 9)
+    assert {r.text for r in got if r.doc_id < 200} == {""}
