@@ -8,10 +8,21 @@ from pyspark.sql import functions as F
 MIB = 1024 * 1024
 
 
-def peak(traces: DataFrame, seconds: int, op: str = "write") -> DataFrame:
-    """The bytes of the fullest window, aligned to the epoch."""
-    sums = traces.where(F.col("op") == op).groupBy(F.floor(F.col("second") / seconds).alias("w")).agg(F.sum("bytes").alias("b"))
-    return sums.agg(F.coalesce(F.max("b"), F.lit(0)).alias("peak_bytes"), F.count("*").alias("windows"))
+def peak(traces: DataFrame, seconds: int, op: str = "write", checked: bool = False) -> DataFrame:
+    """The bytes of the fullest window, aligned to the epoch, and how many windows there are.
+
+    checked: of the bytes that were verified; null if any of the operation's traces does not say them.
+    """
+    own = traces.where(F.col("op") == op)
+    size = "checked_bytes" if checked else "bytes"
+    sums = own.groupBy(F.floor(F.col("second") / seconds).alias("w")).agg(F.sum(size).alias("b"), F.count_if(F.col(size).isNull()).alias("unknown"))
+    most = F.coalesce(F.max("b"), F.lit(0))
+    return sums.agg(F.when(F.coalesce(F.sum("unknown"), F.lit(0)) == 0, most).alias("peak_bytes"), F.count("*").alias("windows"))
+
+
+def completion_peak(traces: DataFrame, seconds: int, op: str = "write", checked: bool = False) -> DataFrame:
+    """The same as MiB a second."""
+    return peak(traces, seconds, op, checked).select((F.col("peak_bytes") / seconds / MIB).alias("mib_per_second"))
 
 
 def percentiles(df: DataFrame, group: str, value: str, percent: int) -> DataFrame:
@@ -34,6 +45,27 @@ def profile(traces: DataFrame) -> DataFrame:
     )
 
 
+def full_profile(traces: DataFrame) -> DataFrame:
+    """The same with the share of all bytes, the hosts, and the 99th percentile of sizes at the floor index."""
+    sums = profile(traces).join(traces.groupBy("op").agg(F.count_distinct("host").alias("hosts")), "op")
+    total = traces.agg(F.sum("bytes").alias("all_bytes"))
+    p99 = percentiles(traces, "op", "bytes", 99).select("op", F.col("floor_index").alias("p99"))
+    return sums.join(p99, "op").join(F.broadcast(total)).withColumn("share", F.col("bytes") / F.col("all_bytes")).drop("all_bytes")
+
+
+def report(work: DataFrame, fanout: int) -> DataFrame:
+    """One row for a benchmark of workers (role, worker, bytes, seconds): totals, MiB a second by the slowest worker of
+    each role, and whether every byte written was read `fanout` times."""
+    of = lambda role, c: F.coalesce(F.sum(F.when(F.col("role") == role, F.col(c))), F.lit(0))
+    slowest = lambda role: F.max(F.when(F.col("role") == role, F.col("seconds")))
+    rate = lambda role: of(role, "bytes") / MIB / slowest(role)
+    sums = work.agg(
+        of("write", "bytes").alias("written"), of("read", "bytes").alias("read"), rate("write").alias("write_mib_s"), rate("read").alias("read_mib_s"),
+        F.count_distinct("worker").alias("workers"),
+    )
+    return sums.withColumn("balanced", F.col("read") == F.col("written") * fanout)
+
+
 def ring(items: DataFrame, position: str, readers: int, hosts: int) -> DataFrame:
     """Who reads what: reader r of a host takes the positions r, r + readers, ... of the host before it."""
     return items.withColumn("rank", F.pmod(F.col(position), F.lit(readers))).withColumn("producer", F.pmod(F.col("host") - 1, F.lit(hosts)))

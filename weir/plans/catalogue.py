@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from weir.functions import canon
 from weir.operators import profile, queue, replay, retention, store, tensors
+from weir.operators.reach import closure
 
-from .fixtures import OWNER, OWNER_ALL, dialect, view, with_views
+from .fixtures import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,14 +31,6 @@ class Tables:
         return canon.positions(self.accepted, ["o_orderdate", "task_id"], "position").drop("o_orderdate")
 
 
-class AllOwners(Tables):
-    """The same, with every customer as an owner."""
-
-    @property
-    def owner(self) -> DataFrame:
-        return view(self.spark, self.sf_dir, "owner_all")
-
-
 COMMIT = "commit AS (SELECT row_number() OVER (ORDER BY o_orderdate, task_id) - 1 AS position, * EXCLUDE (o_orderdate) FROM accepted)"
 
 
@@ -52,14 +45,6 @@ def query(sql: str) -> Callable:
     return register
 
 
-def over_all_owners(f: Callable[[Tables], DataFrame]) -> Callable:
-    """Registers a query that is registered already once more, as NAME_all, over every customer and document."""
-    name = f"{f.__name__}_all"
-    QUERIES[name] = lambda spark, sf_dir: f(AllOwners(spark, sf_dir))
-    ORACLES[name] = ORACLES[f.__name__].replace(dialect(OWNER), dialect(OWNER_ALL))
-    return f
-
-
 # store
 
 
@@ -78,7 +63,8 @@ def recordset_manifest(t: Tables) -> DataFrame:
     return store.manifest(t.record).withColumn("records", F.array_join("records", ","))
 
 
-_DIGEST = "SELECT pub, sha256(string_agg(record_id || ':' || bytes || ':' || tokens || ':' || codec, chr(10) ORDER BY ordinal)) AS digest, count(*) AS records FROM record GROUP BY pub"
+_LINE = """'{"bytes":' || bytes || ',"codec":"' || codec || '","record_id":"' || record_id || '","tokens":' || tokens || '}'"""
+_DIGEST = f"""SELECT pub, sha256('{{"dependencies":[],"records":[' || string_agg({_LINE}, ',' ORDER BY ordinal) || ']}}') AS digest, count(*) AS records FROM record GROUP BY pub"""
 
 
 @query(_DIGEST)
@@ -138,11 +124,53 @@ def publication_receipt(t: Tables) -> DataFrame:
     return store.publication_receipts(t.accepted.selectExpr("worker AS writer", "'publish' AS api", "concat('s', task_id div 3) AS submission_id", "task_id AS seq", "concat('r', task_id) AS result"))
 
 
-@query("SELECT worker AS writer, count(*) AS open FROM wal AS w WHERE type = 'Leased' AND NOT EXISTS (SELECT 1 FROM wal AS d WHERE d.type = 'Completed' AND d.task_id = w.task_id AND d.worker - 6 = w.worker - w.idx) GROUP BY worker")
+_WRITER_LOG = "log AS (SELECT o_custkey % 16 AS writer, o_orderkey AS submission_id, 'begin' AS event FROM orders UNION ALL SELECT o_custkey % 16, o_orderkey, 'done' FROM orders WHERE o_orderkey % 29 <> 0)"
+
+
+def _writer_log(t: Tables) -> DataFrame:
+    o = t.orders.selectExpr("o_custkey % 16 AS writer", "o_orderkey AS submission_id")
+    return o.withColumn("event", F.lit("begin")).unionByName(o.where("submission_id % 29 <> 0").withColumn("event", F.lit("done")))
+
+
+@query(f"WITH {_WRITER_LOG} SELECT writer, count(*) AS open FROM log AS b WHERE event = 'begin' AND submission_id NOT IN (SELECT submission_id FROM log WHERE event = 'done') GROUP BY writer")
 def writers_unfinished(t: Tables) -> DataFrame:
-    log = t.wal.where("type IN ('Leased', 'Completed')").selectExpr("CASE type WHEN 'Leased' THEN 'begin' ELSE 'done' END AS event", "worker - idx AS base", "worker", "task_id")
-    begun = log.where("event = 'begin'").join(log.where("event = 'done'").select("base", "task_id"), ["base", "task_id"], "left_anti")
-    return begun.groupBy(F.col("worker").alias("writer")).agg(F.count("*").alias("open"))
+    return store.unfinished_writers(_writer_log(t))
+
+
+@query("""
+SELECT o_orderkey AS submission_id, CASE WHEN o_orderkey % 29 <> 0 THEN 'release' WHEN EXISTS (SELECT 1 FROM record_usage WHERE pub = o_orderkey AND records > 3) THEN 'complete' ELSE 'drop' END AS action
+FROM orders WHERE o_custkey % 16 = 5""")
+def writer_retirement(t: Tables) -> DataFrame:
+    whole = store.usage(t.record).where("records > 3").select(F.col("pub").alias("submission_id"))
+    return store.retire_writer(_writer_log(t), whole, 5, "recover", discard_staging=True)
+
+
+_TAINTED = f"""
+WITH RECURSIVE d AS ({_DIGEST}),
+bad AS (SELECT pub FROM d WHERE pub % 97 = 0 OR pub % 89 = 0 OR (pub % 83 = 0 AND digest <> reverse(digest))),
+dep AS (SELECT o_orderkey AS pub, o_orderkey // 2 AS dep FROM orders WHERE o_orderkey % 3 = 0),
+up(pub) AS (SELECT pub FROM bad UNION SELECT pub FROM dep WHERE dep NOT IN (SELECT pub FROM d) UNION SELECT dep.pub FROM dep JOIN up ON dep.dep = up.pub)
+SELECT count(*) AS sets, count(*) FILTER (WHERE pub NOT IN (SELECT pub FROM bad)) AS by_dependency FROM up JOIN d USING (pub)"""
+
+
+@query(_TAINTED)
+def validate_closure(t: Tables) -> DataFrame:
+    edges = t.orders.where("o_orderkey % 3 = 0").selectExpr("o_orderkey AS pub", "o_orderkey div 2 AS dep")
+    found = store.validate_closure(t.record, _descriptors(t), edges)
+    return found.agg(F.count("*").alias("sets"), F.count_if(F.col("reason") == "dependency").alias("by_dependency"))
+
+
+@query("SELECT pub, ordinal, r.record_id, r.bytes, r.tokens, r.codec, r.record_id IS NOT NULL AS found FROM (SELECT l_orderkey % 100 AS pub, row_number() OVER (PARTITION BY l_orderkey % 100 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS ordinal, concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS want FROM lineitem) AS x LEFT JOIN (SELECT record_id, bytes, tokens, codec FROM record) AS r ON r.record_id = want")
+def record_set_over_existing(t: Tables) -> DataFrame:
+    w = Window.partitionBy(F.expr("l_orderkey % 100")).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    refs = t.lineitem.select(F.expr("l_orderkey % 100").alias("pub"), (F.row_number().over(w) - 1).cast("bigint").alias("ordinal"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("record_id"))
+    found = store.record_set(refs, t.record, ["record_id"])
+    return found.withColumn("record_id", F.when(F.col("found"), F.col("record_id")))
+
+
+@query("SELECT count(*) AS records, CAST(sum(bytes) AS BIGINT) AS payload_bytes, (SELECT count(DISTINCT doc_id // 8) FROM documents) AS segments, (SELECT count(*) FROM documents) AS publications, (SELECT CAST(sum(doc_id % 5) AS BIGINT) FROM documents) AS publish_seconds FROM record")
+def store_metrics(t: Tables) -> DataFrame:
+    return store.metrics(t.record, t.documents.selectExpr("doc_id div 8 AS segment", "doc_id % 5 AS seconds"))
 
 
 # queue
@@ -214,9 +242,16 @@ def commits_page(t: Tables) -> DataFrame:
     return queue.commits_page(t.commit, 100, 200).select("position", "submission_id", "task_id", "bytes")
 
 
-@query("SELECT count(*) AS n, FALSE AS end_of_input FROM accepted")
+_END = "SELECT {c} AS reader, count(*) AS n, count(*) = {c} AND NOT EXISTS (SELECT 1 FROM task WHERE state NOT IN ('completed', 'failed', 'cancelled'){w}) AS end_of_input FROM accepted"
+
+
+@query(f"{_END.format(c='10', w='')} UNION ALL {_END.format(c='(SELECT count(*) FROM accepted)', w='')} UNION ALL {_END.format(c='(SELECT count(*) FROM accepted)', w=' AND FALSE')}")
 def commits_end(t: Tables) -> DataFrame:
-    return queue.commits_end(t.accepted, t.task, True, 10)
+    """A reader in the middle, one at the end with tasks left, and one at the end when all tasks are done."""
+    n, done = t.accepted.count(), t.task.withColumn("state", F.lit("completed"))
+    ends = [(10, t.task), (n, t.task), (n, done)]
+    parts = [queue.commits_end(t.accepted, tasks, True, c).select(F.lit(c).cast("bigint").alias("reader"), "n", "end_of_input") for c, tasks in ends]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query("""
@@ -253,15 +288,10 @@ def consumer_progress_valid(t: Tables) -> DataFrame:
     return queue.progress_errors(acks, 2, 6)
 
 
-@query("SELECT doc_id AS root FROM documents WHERE doc_id < 60 AND doc_id NOT IN (SELECT child FROM edge WHERE parent = 100)")
-def checkpoint_missing_deps(t: Tables) -> DataFrame:
-    return queue.missing_dependencies(t.documents.where("doc_id < 60").select(F.col("doc_id").alias("root")), t.edge, 100)
-
-
 @query("""
 WITH required AS (SELECT doc_id AS checkpoint, doc_id div 2 AS root FROM documents UNION SELECT doc_id, doc_id - 7 FROM documents WHERE doc_id >= 7)
 SELECT checkpoint, root FROM required ANTI JOIN edge ON parent = checkpoint AND child = root""")
-def checkpoint_missing_deps_all(t: Tables) -> DataFrame:
+def checkpoint_missing_deps(t: Tables) -> DataFrame:
     """Every document as a checkpoint, and every document but the last ones as a root that one requires."""
     required = t.documents.selectExpr("doc_id AS checkpoint", "doc_id div 2 AS root").union(t.documents.where("doc_id >= 7").selectExpr("doc_id", "doc_id - 7")).distinct()
     return queue.missing_dependencies_of_each(required, t.edge)
@@ -282,94 +312,112 @@ def _owned(t: Tables) -> DataFrame:
     return retention.owned_packs(t.owner.select("owner", "root"), t.edge, t.place)
 
 
+def _held(t: Tables) -> DataFrame:
+    return retention.held_packs(t.owner, t.edge, t.place)
+
+
 def _tombstones(t: Tables) -> DataFrame:
     return t.pack.where("tombstoned")
 
 
-@over_all_owners
 @query(_OWNED + " SELECT owner, pack FROM owned")
 def closure_packs(t: Tables) -> DataFrame:
     return _owned(t)
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT doc_id AS parent, doc_id // 2 AS child FROM documents WHERE doc_id > 0 UNION SELECT 0, 97),
-r(root, node) AS (SELECT doc_id, doc_id FROM documents WHERE doc_id IN (3, 50, 97) UNION SELECT r.root, e.child FROM r JOIN e ON e.parent = r.node) SELECT root, node FROM r""")
-def closure_of_cycle(t: Tables) -> DataFrame:
-    edges = t.documents.where("doc_id > 0").selectExpr("doc_id AS parent", "doc_id div 2 AS child").union(t.spark.sql("SELECT 0L, 97L"))
-    return retention.closure(t.documents.where("doc_id IN (3, 50, 97)").select(F.col("doc_id").alias("root")), edges)
-
-
 @query("""
 WITH RECURSIVE e AS (SELECT doc_id AS parent, doc_id // 2 AS child FROM documents WHERE doc_id > 0 UNION SELECT 0, 97),
 r(root, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.root, e.child FROM r JOIN e ON e.parent = r.node) SELECT root, node FROM r""")
-def closure_of_cycle_all(t: Tables) -> DataFrame:
+def closure_of_cycle(t: Tables) -> DataFrame:
     edges = t.documents.where("doc_id > 0").selectExpr("doc_id AS parent", "doc_id div 2 AS child").union(t.spark.sql("SELECT 0L, 97L"))
-    return retention.closure(t.documents.select(F.col("doc_id").alias("root")), edges)
+    return closure(t.documents.select(F.col("doc_id").alias("root")), edges)
 
 
 _GONE = "gone AS (SELECT pack, size FROM pack WHERE sealed AND NOT tombstoned AND pack NOT IN (SELECT pack FROM owned))"
 
 
-@over_all_owners
 @query(f"{_OWNED}, {_GONE} SELECT pack FROM gone")
 def gc_candidates(t: Tables) -> DataFrame:
-    return retention.collectable(t.pack, _owned(t), _tombstones(t))
+    return retention.collectable(t.pack, _held(t), _tombstones(t))
 
 
-@over_all_owners
 @query(f"""{_OWNED}, {_GONE}
 SELECT (SELECT count(*) FROM gone) AS reclaimed_files, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM gone) AS reclaimed_bytes,
-       (SELECT count(DISTINCT owner) FROM owned) AS owners, (SELECT count(DISTINCT pack) FROM owned) AS retained_packs,
+       (SELECT count(DISTINCT owner) FROM owner) AS owners, (SELECT count(DISTINCT pack) FROM owned) AS retained_packs,
        (SELECT count(*) FROM pack WHERE NOT sealed) AS open_packs, (SELECT count(*) FROM pack WHERE tombstoned) AS tombstones""")
 def gc_summary(t: Tables) -> DataFrame:
-    return retention.collection_summary(t.pack, _owned(t), _tombstones(t), t.pack.select("pack", "size"))
+    return retention.collection_summary(t.pack, t.owner, _held(t), _tombstones(t), t.pack.select("pack", "size"))
 
 
-@over_all_owners
 @query(f"""
 WITH {COMMIT}
 SELECT DISTINCT root, holder FROM (
   SELECT task_id AS root, 'task' AS holder FROM task WHERE state <> 'completed' UNION ALL SELECT task_id, 'commit' FROM commit WHERE position >= 200
-  UNION ALL SELECT task_id, 'reader' FROM task WHERE state = 'leased' UNION ALL SELECT root, 'checkpoint' FROM owner WHERE owner LIKE 'checkpoint:%') AS x""")
+  UNION ALL SELECT task_id, 'batch' FROM commit WHERE position < 200 AND position % 16 = 0 UNION ALL SELECT task_id, 'reader' FROM task WHERE state = 'leased'
+  UNION ALL SELECT c_custkey, 'consumer' FROM customer WHERE c_nationkey = 3 UNION ALL SELECT s_suppkey, 'producer' FROM supplier
+  UNION ALL SELECT root, 'checkpoint' FROM owner WHERE owner LIKE 'checkpoint:%') AS x""")
 def queue_roots(t: Tables) -> DataFrame:
     part = lambda df, col, holder: df.select(F.col(col).alias("root"), F.lit(holder).alias("holder"))
+    commit = t.commit
     return retention.live_roots([
-        part(t.task.where("state <> 'completed'"), "task_id", "task"), part(t.commit.where("position >= 200"), "task_id", "commit"),
-        part(t.task.where("state = 'leased'"), "task_id", "reader"), part(t.owner.where(F.col("owner").startswith("checkpoint:")), "root", "checkpoint"),
+        part(t.task.where("state <> 'completed'"), "task_id", "task"), part(commit.where("position >= 200"), "task_id", "commit"),
+        part(commit.where("position < 200 AND position % 16 = 0"), "task_id", "batch"), part(t.task.where("state = 'leased'"), "task_id", "reader"),
+        part(t.customer.where("c_nationkey = 3"), "c_custkey", "consumer"), part(t.supplier, "s_suppkey", "producer"),
+        part(t.owner.where(F.col("owner").startswith("checkpoint:")), "root", "checkpoint"),
     ])
 
 
-@over_all_owners
 @query("SELECT owner FROM owner WHERE owner LIKE 'queue:%' AND c_custkey % 8 <> 0")
 def prune_owners(t: Tables) -> DataFrame:
     return retention.dead_owners(t.owner, t.owner.where("c_custkey % 8 = 0").select("owner"), "queue:").select("owner")
 
 
-@query(f"""{_OWNED}, a(root, node) AS (SELECT doc_id, doc_id FROM documents WHERE doc_id % 9 = 4 UNION SELECT a.root, e.child FROM a JOIN edge AS e ON e.parent = a.node)
+@query(f"""{_OWNED}, a(root, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT a.root, e.child FROM a JOIN edge AS e ON e.parent = a.node)
 SELECT a.root, bool_and(p.pack IN (SELECT pack FROM owned) AND p.pack NOT IN (SELECT pack FROM pack WHERE tombstoned)) AS allowed FROM a JOIN place AS p ON p.node = a.node GROUP BY a.root""")
 def reactivation_allowed(t: Tables) -> DataFrame:
-    roots = t.documents.where("doc_id % 9 = 4").select(F.col("doc_id").alias("root"))
-    return retention.reactivation(roots, t.edge, t.place, _owned(t), _tombstones(t))
+    return retention.reactivation(t.documents.select(F.col("doc_id").alias("root")), t.edge, t.place, _held(t), _tombstones(t))
 
 
-@query(f"""{_OWNED.replace("FROM owner", "FROM owner_all")}, a(root, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT a.root, e.child FROM a JOIN edge AS e ON e.parent = a.node)
-SELECT a.root, bool_and(p.pack IN (SELECT pack FROM owned) AND p.pack NOT IN (SELECT pack FROM pack WHERE tombstoned)) AS allowed FROM a JOIN place AS p ON p.node = a.node GROUP BY a.root""")
-def reactivation_allowed_all(t: Tables) -> DataFrame:
-    owned = retention.owned_packs(t.owner_all.select("owner", "root"), t.edge, t.place)
-    return retention.reactivation(t.documents.select(F.col("doc_id").alias("root")), t.edge, t.place, owned, _tombstones(t))
+@query("""
+WITH RECURSIVE gone(node) AS (SELECT node FROM place JOIN pack USING (pack) WHERE tombstoned UNION SELECT e.parent FROM gone AS g JOIN edge AS e ON e.child = g.node)
+SELECT DISTINCT root FROM owner WHERE root IN (SELECT node FROM gone)""")
+def closure_refused(t: Tables) -> DataFrame:
+    return retention.refused(t.owner.select("root").distinct(), t.edge, t.place, _tombstones(t))
 
 
-@over_all_owners
-@query(f"{_OWNED} SELECT split_part(owner, ':', 1) AS category, count(DISTINCT owner) AS owners, count(DISTINCT pack) AS packs, min(owner) AS first_owner FROM owned GROUP BY 1")
+@query(f"""{_OWNED}
+SELECT c_custkey AS root, CASE WHEN doc_id IS NULL THEN 'missing' WHEN doc_id // 8 % 16 = 15 THEN 'gone' ELSE 'unowned' END AS reason FROM customer LEFT JOIN documents ON doc_id = c_custkey * 3
+WHERE doc_id IS NULL OR doc_id // 8 % 16 = 15 OR doc_id // 8 NOT IN (SELECT pack FROM owned)""")
+def retained_roots_required(t: Tables) -> DataFrame:
+    live = t.customer.selectExpr("c_custkey * 3 AS root")
+    return retention.unretained(live, t.place, _held(t), _tombstones(t)).withColumn("root", F.expr("root div 3"))
+
+
+@query("""
+WITH RECURSIVE done(node) AS (SELECT doc_id FROM documents WHERE lang = 'de' UNION SELECT e.child FROM done AS d JOIN edge AS e ON e.parent = d.node)
+SELECT concat('staged:', doc_id) AS owner, doc_id // 8 AS pack FROM documents WHERE doc_id NOT IN (SELECT node FROM done) UNION ALL SELECT 'other:1', 0""")
+def publications_released(t: Tables) -> DataFrame:
+    staged = t.documents.selectExpr("concat('staged:', doc_id) AS owner", "doc_id div 8 AS pack").union(t.spark.sql("SELECT 'other:1', 0L"))
+    return retention.released_publications(staged, t.documents.where("lang = 'de'").selectExpr("doc_id AS node"), t.edge)
+
+
+@query(f"""{_OWNED}, k AS (SELECT split_part(owner, ':', 1) AS category, owner, pack FROM owned),
+o AS (SELECT category, owner, row_number() OVER (PARTITION BY category ORDER BY owner) AS n FROM (SELECT DISTINCT category, owner FROM k) AS x),
+p AS (SELECT k.category, k.owner, pack, row_number() OVER (PARTITION BY k.owner ORDER BY pack) AS n FROM k JOIN o ON o.owner = k.owner AND o.n <= 4),
+e AS (SELECT category, owner, owner || '=' || string_agg(pack, ',' ORDER BY pack) AS x FROM p WHERE n <= 3 GROUP BY category, owner)
+SELECT category, count(DISTINCT owner) AS owners, count(DISTINCT pack) AS packs, (SELECT string_agg(x, ';' ORDER BY owner) FROM e WHERE e.category = k.category) AS examples FROM k GROUP BY category""")
 def retention_summary(t: Tables) -> DataFrame:
     return retention.retention_summary(_owned(t))
 
 
-@over_all_owners
+@query("SELECT pack % 100 AS writer, count(*) AS open_packs FROM pack WHERE NOT sealed GROUP BY 1 ORDER BY 1 LIMIT 64")
+def writers_open(t: Tables) -> DataFrame:
+    return retention.open_writers(t.pack.withColumn("writer", F.expr("pack % 100")))
+
+
 @query(f"{_OWNED} SELECT pack, CASE WHEN sealed THEN 'sealed' ELSE 'partial' END AS kind FROM pack WHERE pack NOT IN (SELECT pack FROM owned)")
 def orphan_segments(t: Tables) -> DataFrame:
-    return retention.orphans(t.pack, _owned(t))
+    return retention.orphans(t.pack, _held(t))
 
 
 # ranges and tensors
@@ -381,12 +429,28 @@ def read_range_chunks(t: Tables) -> DataFrame:
     return tensors.range_chunks(asked, 1024).join(tensors.chunk_table(t.documents, "doc_id", "text", 1024), ["doc_id", "chunk"]).select("doc_id", "chunk", "digest")
 
 
-@query("SELECT pos, doc_id, substr(hex(encode(text)), 2 * s + 1, 2 * (e - s)) AS bytes, TRUE AS intact FROM (SELECT doc_id, text, k * 100000 + doc_id AS pos, 10 + 500 * k AS s, least(strlen(text), 10 + 500 * k + 1500) AS e FROM documents, range(3) AS r(k)) AS x WHERE s < e")
+@query("SELECT pos, doc_id, CASE WHEN d THEN NULL ELSE substr(hex(encode(text)), 2 * s + 1, 2 * (e - s)) END AS bytes, NOT d AS intact FROM (SELECT *, EXISTS (SELECT 1 FROM range(s // 1024, (e - 1) // 1024 + 1) AS c(i) WHERE (doc_id * 7 + i) % 11 = 0) AS d FROM (SELECT doc_id, text, k * 100000000 + doc_id AS pos, 10 + 500 * k AS s, least(strlen(text), 10 + 500 * k + 1500) AS e FROM documents, range(3) AS r(k)) AS x WHERE s < e) AS y")
 def read_ranges_batch(t: Tables) -> DataFrame:
+    """Some chunks were damaged after their digests were taken; ranges that touch one are told, and not read."""
     asked = t.documents.select("doc_id", F.octet_length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
-    asked = asked.selectExpr("k * 100000 + doc_id AS pos", "doc_id", "10 + 500 * k AS start", "least(n, 10 + 500 * k + 1500) AS stop")
-    got = tensors.read_ranges(asked, tensors.chunk_table(t.documents, "doc_id", "text", 1024), "doc_id", 1024)
-    return got.withColumn("bytes", F.hex("bytes"))
+    asked = asked.selectExpr("k * 100000000 + doc_id AS pos", "doc_id", "10 + 500 * k AS start", "least(n, 10 + 500 * k + 1500) AS stop")
+    chunks = tensors.chunk_table(t.documents, "doc_id", "text", 1024)
+    damaged = chunks.withColumn("data", F.when(F.expr("(doc_id * 7 + chunk) % 11 = 0"), F.concat("data", F.lit(b"!"))).otherwise(F.col("data")))
+    got = tensors.read_ranges(asked, damaged, "doc_id", 1024)
+    return got.withColumn("bytes", F.when(F.col("intact"), F.hex("bytes")))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 17 = 0 THEN 'missing' ELSE 'layout' END AS reason FROM embeddings WHERE vec_id % 17 = 0 OR vec_id % 13 = 0")
+def tensor_preflight(t: Tables) -> DataFrame:
+    e = t.embeddings
+    asked = e.select("vec_id", F.expr("array(8L, 8L)").alias("shape"), F.expr("CASE WHEN vec_id % 13 = 0 THEN 'float64' ELSE 'float32' END").alias("dtype"))
+    have = e.where("vec_id % 17 <> 0").select("vec_id", F.expr("array(8L, 8L)").alias("shape"), F.lit("float32").alias("dtype"), (F.size("embedding") * 4).cast("bigint").alias("nbytes"))
+    return tensors.preflight(asked, have, "vec_id").select("vec_id", "reason")
+
+
+@query("SELECT pub, ordinal FROM record WHERE codec = 'tensor.v1' AND pub IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
+def tensors_of_record_sets(t: Tables) -> DataFrame:
+    return tensors.shared(tensors.from_record_set(t.record, t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("pub"))))
 
 
 @query("SELECT vec_id, array_to_string(list_transform(embedding[9:24], lambda x: CAST(round(x * 1000) AS BIGINT)), ',') AS rows FROM embeddings")
@@ -459,6 +523,25 @@ def trace_profile(t: Tables) -> DataFrame:
     return profile.profile(t.trace)
 
 
+@query("SELECT CASE WHEN count(checked_bytes) = count(*) THEN CAST(max(b) AS BIGINT) END AS peak_bytes, count(*) AS windows FROM (SELECT sum(checked_bytes) AS b, CASE WHEN count(checked_bytes) = count(*) THEN 1 END AS checked_bytes FROM trace WHERE op = 'read' GROUP BY second // 10) AS x")
+def trace_peak_checked(t: Tables) -> DataFrame:
+    return profile.peak(t.trace, 10, "read", checked=True)
+
+
+@query("""
+WITH r AS (SELECT op, bytes, event_id, row_number() OVER (PARTITION BY op ORDER BY bytes) - 1 AS k, count(*) OVER (PARTITION BY op) AS n FROM trace)
+SELECT op, max(n) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, max(bytes) AS largest, count(DISTINCT event_id % 5) AS hosts, max(bytes) FILTER (WHERE k = 99 * (n - 1) // 100) AS p99, round(sum(bytes) / (SELECT sum(bytes) FROM trace), 9) AS share FROM r GROUP BY op""")
+def trace_full_profile(t: Tables) -> DataFrame:
+    return profile.full_profile(t.trace.withColumn("host", F.expr("event_id % 5"))).drop("checked_bytes").withColumn("share", F.round("share", 9))
+
+
+@query("SELECT CAST(sum(bytes) AS BIGINT) AS written, CAST(3 * sum(bytes) AS BIGINT) AS read, round(sum(bytes) / 1048576.0 / 9, 6) AS write_mib_s, round(3 * sum(bytes) / 1048576.0 / 11, 6) AS read_mib_s, 10 AS workers, TRUE AS balanced FROM record")
+def benchmark_report(t: Tables) -> DataFrame:
+    w = t.record.selectExpr("'write' AS role", "concat('w', pub % 5) AS worker", "bytes", "5 + pub % 5 AS seconds")
+    r = t.record.selectExpr("'read' AS role", "concat('r', pub % 5) AS worker", "bytes * 3 AS bytes", "7 + pub % 5 AS seconds")
+    return profile.report(w.unionByName(r), 3).withColumn("write_mib_s", F.round("write_mib_s", 6)).withColumn("read_mib_s", F.round("read_mib_s", 6))
+
+
 @query(f"WITH {COMMIT} SELECT position, position % 4 AS rank, (worker + 2) % 3 AS producer FROM commit")
 def ring_assignment(t: Tables) -> DataFrame:
     return profile.ring(t.commit.withColumn("host", F.col("worker")), "position", 4, 3).select("position", "rank", "producer")

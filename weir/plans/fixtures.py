@@ -53,23 +53,19 @@ UNION SELECT doc_id, doc_id - 7 FROM documents WHERE doc_id % 5 = 0 AND doc_id >
 """
 PLACE = "SELECT doc_id AS node, doc_id div 8 AS pack FROM documents"
 PACK = "SELECT pack, pack % 3 <> 0 AS sealed, pack % 16 = 15 AS tombstoned, size FROM (SELECT doc_id div 8 AS pack, sum(n_chars) AS size FROM documents GROUP BY doc_id div 8) AS x"
+#: Every customer; their roots lie in the lower half of the documents, whose ids are 0 and up without gaps, so that
+#: what only the upper half reaches can be collected.
 OWNER = """
 SELECT concat(CASE c_custkey % 4 WHEN 0 THEN 'queue' WHEN 1 THEN 'checkpoint' WHEN 2 THEN 'reader' ELSE 'staged' END, ':', CAST(c_custkey AS STRING)) AS owner,
        c_custkey, doc_id AS root
-FROM customer JOIN documents ON doc_id = c_custkey % 1000 WHERE c_custkey % 37 = 0
-"""
-#: Every customer, over all documents: ids of documents are 0 and up without gaps.
-OWNER_ALL = """
-SELECT concat(CASE c_custkey % 4 WHEN 0 THEN 'queue' WHEN 1 THEN 'checkpoint' WHEN 2 THEN 'reader' ELSE 'staged' END, ':', CAST(c_custkey AS STRING)) AS owner,
-       c_custkey, doc_id AS root
-FROM customer CROSS JOIN (SELECT count(*) AS n FROM documents) AS d JOIN documents ON doc_id = c_custkey % n
+FROM customer CROSS JOIN (SELECT count(*) AS n FROM documents) AS d JOIN documents ON doc_id = c_custkey % n div 2
 """
 PROGRESS = "SELECT conv_id AS task_id, turn AS generation, concat('ref-', CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS input_ref, turn % 2 = 1 AS acknowledged FROM conversations"
 BLOB = "SELECT doc_id, text, doc_id % 8 AS writer FROM documents"
 
 VIEWS = {
     "task": TASK, "record": RECORD, "record_usage": USAGE, "accepted": ACCEPTED, "wal": WAL, "trace": TRACE, "edge": EDGE,
-    "place": PLACE, "pack": PACK, "owner": OWNER, "owner_all": OWNER_ALL, "progress": PROGRESS, "blob": BLOB,
+    "place": PLACE, "pack": PACK, "owner": OWNER, "progress": PROGRESS, "blob": BLOB,
 }
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 _FROM = re.compile(r"\b(FROM|JOIN) (\w+)\b")
