@@ -1,41 +1,45 @@
-"""What operations raise."""
+"""What operations raise. The names and what they derive from are fixed: callers of such a queue catch them."""
 
 
-class QueueError(Exception):
-    """The base of all."""
+class QueueError(RuntimeError):
+    """The base of all; itself for what the queue's state forbids, as a submission after the seal."""
 
 
 class LeaseExpired(QueueError):
-    pass
+    """A lease whose time is over."""
 
 
 class StaleAttempt(QueueError):
-    pass
+    """An attempt, or a consumer's token, that does not hold what it asks for."""
 
 
 class IdempotencyConflict(QueueError):
-    pass
+    """Other content under an id that has an answer already."""
+
+
+class IndeterminateCommit(QueueError):
+    """A transaction that may have been written or not: the log was not told."""
 
 
 class StorageUnavailable(QueueError):
-    pass
+    """Storage failed: no task is taken or given out until the queue is opened again."""
 
 
 class QuotaExceeded(StorageUnavailable):
-    pass
+    """The log's file system is full."""
 
 
 class CorruptData(QueueError):
-    pass
+    """A log with a gap or a line that cannot be read."""
 
 
 class InvalidReference(QueueError):
-    pass
+    """A result, batch, publication or commit that is not there, or no longer."""
 
 
 class UnsafeRecovery(QueueError):
-    pass
+    """What would lose data: a root that is not retained, a report that changed, a second owner."""
 
 
 class WriterFenced(QueueError):
-    pass
+    """Another writer has the transaction."""

@@ -45,7 +45,9 @@ def step(now: tuple, e: dict) -> tuple:
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
     now = tuple(group.get) if group.exists else NEW
     events = pd.concat(list(frames)).sort_values(["seq", "idx"])
-    for e in events.to_dict("records"):
+    names = list(events.columns)
+    for row in events.itertuples(index=False, name=None):
+        e = dict(zip(names, row, strict=True))
         if e["seq"] > now[4] or now[0] is None:
             now = step(now, e)
     group.update(now)
