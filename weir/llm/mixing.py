@@ -9,7 +9,7 @@ children; tokens that are left over go to the largest remainders, so a budget is
 
 A leaf of budget b and t tokens gives b div t whole epochs and a prefix of one more, in which documents lie
 in the order of md5(seed:epoch:id). The prefix's last document is found by sums over 4096 ranges of that
-order and then within one range, so no leaf, however hot, is ever sorted or summed in one task. Leaves are
+order, sixteen at a time, and then within one range, so no leaf, however hot, is ever sorted or summed in one task. Leaves are
 broadcast to their documents while they are few; beyond that only hot ones are.
 
 Defined cases: a null path value is a node called "(none)"; a null or empty text has no tokens and is not
@@ -99,9 +99,15 @@ def mix(
     open_ = leaves.where("rest > 0").withColumnsRenamed({k: f"_{k}" for k in names})
     placed = joined_evenly(narrow.where("tokens > 0"), open_, {f"_{k}": F.col(k) for k in names}, "rows").drop(*open_.columns[: len(names)])
     placed = placed.withColumn("place", place(F.col("whole"), F.col("id"))).withColumn("range", F.substring("place", 1, DIGITS))
-    sums = placed.groupBy(*names, "range").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
-    w = Window.partitionBy(*names).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    border = sums.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where("before < rest AND rest <= before + n").select(*names, "range", "before")
+    sums = written(placed.groupBy(*names, "range").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest")))
+    border = None
+    for digits in range(1, DIGITS + 1):  # the border's range, a digit at a time: a leaf has 16 rows in each step
+        within = sums.withColumn("before", F.lit(0).cast("bigint")) if border is None else sums.withColumn("head", F.substring("range", 1, digits - 1)).join(border, [*names, "head"]).drop("head")
+        by = within.groupBy(*names, F.substring("range", 1, digits).alias("head")).agg(F.sum("n").alias("n"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+        w = Window.partitionBy(*names).orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+        by = by.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(w), F.lit(0)))
+        border = by.where("before < rest AND rest <= before + n").select(*names, "head", "before")
+    border = border.withColumnRenamed("head", "range")
     inner = placed.join(border, [*names, "range"]).groupBy(*names, "range", "place").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"), F.first("before").alias("before"))
     w = Window.partitionBy(*names, "range").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     last = inner.withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(w), F.lit(0))).where("start < rest")
