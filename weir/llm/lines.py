@@ -27,7 +27,7 @@ NEAR = 0.15
 #: Over how many tasks the copies of a hot text are dealt.
 SALTS = 64
 
-_ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+_ENDS = " \t\n\x0b\x0c\r"
 
 
 def _lines(text: Column) -> Column:
@@ -35,7 +35,7 @@ def _lines(text: Column) -> Column:
 
 
 def _key(line: Column) -> Column:
-    bare = F.regexp_replace(line, _ENDS, "")
+    bare = F.btrim(line, F.lit(_ENDS))
     return F.when(bare != "", F.struct(F.xxhash64(bare).alias("h"), F.hash(bare).alias("g")))
 
 
