@@ -1,13 +1,14 @@
 """Quality rules: a table of thresholds, compiled into one projection of built-in functions.
 
 Defined cases: a null or blank text has no words, so every count is 0 and it fails; repeated rows
-are judged alike, each on its own; a null in another column changes nothing; an empty table gives
-an empty table. A column of the input that is called as the result column is replaced.
+are judged alike, each on its own, ties with a threshold pass; a very long text is one row, judged whole; a null in
+another column changes nothing, and its name may be any; an empty table gives an empty table. A column of the input that is called as the result column is replaced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,8 @@ class Rule:
     from_words: int = 0
 
 
-#: The base rules come first; they are judged in whole numbers.
+#: The base rules come first. A percentage is one division of whole numbers, so it passes its threshold exactly when
+#: the whole numbers do.
 BASE = (
     Rule("few_words", "n_words", least=10),
     Rule("repeated_words", "repeat_percent", most=20),
@@ -145,7 +147,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     step = step.select(*keep, F.explode(F.array(F.struct(*[v.cast("bigint").alias(k) for k, v in counts.items()]))).alias(counted))
     m = {k: F.col(f"`{counted}`")[k] for k in counts}
     measures = _measures(m)
-    base = (m["n_words"] < 10) | (m["n_repeat_words"] * 100 > m["n_words"] * 20)
+    base = reduce(Column.__or__, [_fails(r, measures, m["n_words"]) for r in BASE])
     broken = F.filter(
         F.array(*[F.when(_fails(r, measures, m["n_words"]), F.lit(r.name)) for r in BASE + tuple(rules)]),
         lambda x: x.isNotNull(),
