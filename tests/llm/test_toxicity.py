@@ -63,7 +63,8 @@ def test_a_very_long_text_beside_short_ones_is_read_in_bounded_memory():
     long_ = b"wort1 wort2 " * 500_000
     got = scorer.score([b"wort1", long_ + b"scumbag!", b"", b"wort2 wort3"])
     assert max(sizes) <= 2 * t.CHUNK * 6 * t.HIDDEN
-    assert got.tolist() == [scorer.score([x])[0] for x in (b"wort1", long_ + b"scumbag!", b"", b"wort2 wort3")]
+    alone = [scorer.score([x])[0] for x in (b"wort1", long_ + b"scumbag!", b"", b"wort2 wort3")]
+    assert np.allclose(got, alone, rtol=0, atol=1e-5)  # products of other shapes round otherwise
     assert len(scorer.score([])) == 0
 
 
