@@ -1,5 +1,6 @@
 import json
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -54,6 +55,30 @@ def test_pieces_equal_the_library(monkeypatch):
         assert own.encode_all(pa.array([], pa.string()), 2)[1].tolist() == []
 
 
+def test_places_of_ids_are_not_all_spelled_out_at_once():
+    """What numpy holds beside the texts: codes twice, sizes and ids, but no 64-bit places of all pieces."""
+    own = p.PieceTokenizer(PATH)
+    some = pa.array(["the of and to " * 1000 + "x"] * 500)
+    own.encode_all(some, 2)
+    tracemalloc.start()
+    n, ids = own.encode_all(some, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n.tolist() == [4002] * 500 and len(ids) == n.sum()
+    assert peak < 24 * len(ids), peak / len(ids)
+
+
+def test_pieces_used_lately_are_kept(monkeypatch):
+    monkeypatch.setattr(p, "TABLE", 100)
+    own = p.PieceTokenizer(PATH)
+    common = " ".join(f"word{k}" for k in range(20))
+    own.encode_all(pa.array([f"x {common}"]), 2)
+    for k in range(30):
+        own.encode_all(pa.array([f"x {common}" if k % 2 else "x " + " ".join(f"w{k}n{j}" for j in range(30))]), 2)
+        assert len(own.held) <= 100 and len(own.held) == len(own.sizes) and own.sizes.sum() == len(own.ids)
+        assert set(common.split()) <= set(own.held.to_pylist())
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 1023, 1024, 1025, 5000, r.BLOCK])
 def test_coder_round_trip(n):
     rng = np.random.default_rng(n)

@@ -18,7 +18,8 @@ import os
 import re
 import sys
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,10 @@ import pyarrow.compute as pc
 from .held import Held
 from .shared import byte_letters
 
-#: Pieces that are held.
-TABLE = 1_000_000
+#: Pieces that are held. With those of a slice they stay below 2**20, beyond which Arrow's table grows from 32 to 128 MB.
+TABLE = 750_000
+#: Pieces that are Python objects, or have the places of their ids spelled out, at once.
+SPAN = 1 << 16
 
 #: Characters that pieces may be cut at: Latin, Greek, Cyrillic and their marks; general punctuation.
 KNOWN = [*range(0x600), *range(0x2000, 0x2070)]
@@ -64,12 +67,13 @@ class PieceTokenizer:
         self.find = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{_SPACE}{letter}{number}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
         self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)").search
         self.new = self._pieces()
-        self.pieces = Held(self.new, TABLE // 16, LONGEST)
-        self.parts = Held(self._part, TABLE // 4, LONGEST)
+        self.pieces = Held(self.new, TABLE // 12, LONGEST)
+        self.parts = Held(self._part, TABLE // 3, LONGEST)
         self._forget()
 
     def _forget(self) -> None:
-        self.held, self.sizes, self.ids = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        """self.last: the turn, one for each call of encode_all, in which a piece was used last."""
+        self.held, self.sizes, self.ids, self.last, self.turn = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, self.dtype), np.zeros(0, np.int32), 0
 
     def _packed(self, ids: list[int]) -> bytes:
         out = array(self.code, ids)
@@ -131,36 +135,63 @@ class PieceTokenizer:
         firsts = [self._first(x) for x in pieces.take(pa.array(starts)).to_pylist()]
         for k in single.tolist():
             firsts[k] = self.encode(texts[k].as_py())
-        numbered = pa.concat_arrays([self.held, pieces]).dictionary_encode()
-        codes = numbered.indices.to_numpy()[len(self.held) :].copy()
-        made = [self.new(x) for x in numbered.dictionary[len(self.held) :].to_pylist()]
-        tail = [*made, *firsts, b"" if end is None else np.array([end], self.dtype).tobytes()]
-        width = self.dtype.itemsize
-        sizes = np.r_[self.sizes, np.fromiter(map(len, tail), np.int64, len(tail)) // width]
-        ids = np.concatenate([self.ids, np.frombuffer(b"".join(tail), self.dtype)])
-        own = len(sizes) - len(tail) + len(made)  # where the texts' first pieces begin
+        # two chunks with one dictionary, so that neither is copied
+        numbered = pa.chunked_array([self.held, pieces]).dictionary_encode().chunks[-1]
+        del cut, pieces
+        known, codes = numbered.dictionary, numbered.indices.to_numpy().copy()
+        del numbered
+        own = len(known)  # where the texts' first pieces begin, and behind them the end
+        sizes, ids = self._joined(map(self.new, self._strings(known[len(self.held) :])), firsts, [b"" if end is None else np.array([end], self.dtype).tobytes()])
         codes[starts] = own + np.arange(len(texts))
-        ends = np.r_[starts[1:], len(codes)]
-        codes = np.insert(codes, ends, own + len(texts))
-        n = sizes[codes]
-        total = int(n.sum())
-        small = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
-        at = np.repeat(((np.cumsum(sizes) - sizes)[codes] - (np.cumsum(n) - n)).astype(small), n)
-        at += np.arange(total, dtype=small)
-        out = ids.take(at)
-        per_text = np.add.reduceat(n, starts + np.arange(len(texts)))
-        self._hold(numbered.dictionary, sizes[:own], ids[: int(sizes[:own].sum())], codes)
+        codes = np.insert(codes, np.r_[starts[1:], len(codes)], own + len(texts))
+        per_text, out = self._spread(codes, sizes, ids, starts + np.arange(len(texts)))
+        self._hold(known, sizes[:own], ids[: int(sizes[:own].sum())], codes)
+        return per_text, out
+
+    @staticmethod
+    def _strings(pieces: pa.Array) -> Iterator[str]:
+        for a in range(0, len(pieces), SPAN):
+            yield from pieces[a : a + SPAN].to_pylist()
+
+    def _joined(self, *more: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of the pieces held and of more, SPAN of which are Python objects at once."""
+        sizes, ids = [self.sizes], [self.ids]
+        all_ = chain(*more)
+        while some := list(islice(all_, SPAN)):
+            sizes.append(np.fromiter(map(len, some), np.int64, len(some)) // self.dtype.itemsize)
+            ids.append(np.frombuffer(b"".join(some), self.dtype))
+        return np.concatenate(sizes), np.concatenate(ids)
+
+    @staticmethod
+    def _spread(codes: np.ndarray, sizes: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, and the ids of all pieces in turn; only SPAN pieces have their places spelled out at once."""
+        at = np.cumsum(sizes) - sizes
+        n = sizes.astype(np.int32 if len(ids) < 1 << 31 else np.int64)[codes]
+        per_text = np.add.reduceat(n, starts, dtype=np.int64)
+        out = np.empty(int(per_text.sum()), ids.dtype)
+        done = 0
+        for a in range(0, len(codes), SPAN):
+            some = n[a : a + SPAN]
+            ends = np.cumsum(some, dtype=np.int64)
+            place = np.repeat(at[codes[a : a + SPAN]] - (ends - some), some)
+            place += np.arange(len(place))
+            out[done : done + len(place)] = ids.take(place)
+            done += len(place)
         return per_text, out
 
     def _hold(self, pieces: pa.Array, sizes: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> None:
-        """Keeps all pieces, or when they are too many those that were just used."""
+        """Keeps all pieces, or when they are too many those that were used last: three quarters of a table, or what was just used."""
+        last = np.zeros(len(pieces) + 1, np.int32)
+        last[: len(self.last)] = self.last
+        self.turn += 1
+        last[np.minimum(codes, len(pieces))] = self.turn
+        last = last[:-1]
         keep = pc.less_equal(pc.utf8_length(pieces), LONGEST).to_numpy(zero_copy_only=False)
         if len(pieces) > TABLE:
-            used = np.zeros(len(pieces) + 1, bool)
-            used[np.minimum(codes, len(pieces))] = True
-            keep &= used[:-1]
+            up_to_age = np.cumsum(np.bincount(self.turn - last[keep], minlength=1))
+            keep &= last >= self.turn - max(0, int(np.searchsorted(up_to_age, TABLE * 3 // 4, "right")) - 1)
         if keep.sum() > TABLE:
             return self._forget()
         if not keep.all():
-            pieces, ids, sizes = pieces.filter(pa.array(keep)), ids[np.repeat(keep, sizes)], sizes[keep]
-        self.held, self.sizes, self.ids = pieces, sizes, ids
+            pieces, ids, sizes, last = pieces.filter(pa.array(keep)), ids[np.repeat(keep, sizes)], sizes[keep], last[keep]
+        self.held, self.sizes, self.ids, self.last = pieces, sizes, ids, last

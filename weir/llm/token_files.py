@@ -41,7 +41,7 @@ MAGIC = b"WEIRTOK1"
 #: Ids that a file is meant to hold.
 FILE_IDS = 8_000_000
 #: Bytes of texts that are encoded at once, unless one alone is longer.
-SLICE = 1 << 24
+SLICE = 1 << 23
 _IDS = ["id", "n", "ids", "counts"]
 _CHECKPOINT = np.dtype([("offset", "<u8"), ("size", "<u8"), ("n", "<u8"), ("before", "<u8"), ("crc", "<u4")])
 _DOCUMENT = np.dtype([("known", "u1"), ("id", "<i8"), ("n", "<u8")])
@@ -81,6 +81,7 @@ def token_ids(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text"
             texts = pc.fill_null(b.column(1), "")
             for at, to in slices(texts, SLICE):
                 n, ids = t.encode_all(texts.slice(at, to - at), end)
+                pa.default_memory_pool().release_unused()  # else it stays with a worker that later stages use as well
                 counts += np.bincount(ids, minlength=len(counts))
                 ends = np.r_[0, np.cumsum(n)] * t.dtype.itemsize
                 rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
